@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streetloom.llm import copies, encodings, lookalikes, vocabmap
+from streetloom.llm import abuse, copies, encodings, leaks, lookalikes, vocabmap
 from streetloom.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def queries() -> dict[str, Query]:
         "p5_restored": lambda s, d: encodings.wrong_encodings(t(s, d, "addresses")),
         "p7_found": lambda s, d: vocabmap.p7_found(t(s, d, "addresses"), t(s, d, "vocab_entries")),
         "p7_unmatched": lambda s, d: vocabmap.p7_unmatched(t(s, d, "addresses"), t(s, d, "vocab_entries")),
+        "p9_found": lambda s, d: leaks.p9_found(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p9_spans": lambda s, d: leaks.p9_spans(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p10_found": lambda s, d: abuse.p10_found(t(s, d, "documents"), t(s, d, "doc_reviews")),
+        "p10_rates": lambda s, d: abuse.p10_rates(t(s, d, "documents"), t(s, d, "doc_reviews")),
     }
 
 
