@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streetloom.llm import abuse, copies, encodings, leaks, lookalikes, vocabmap
+from streetloom.llm import abuse, copies, encodings, leaks, lookalikes, names, vocabmap
 from streetloom.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,8 @@ def queries() -> dict[str, Query]:
         "p9_spans": lambda s, d: leaks.p9_spans(t(s, d, "documents"), t(s, d, "eval_items")),
         "p10_found": lambda s, d: abuse.p10_found(t(s, d, "documents"), t(s, d, "doc_reviews")),
         "p10_rates": lambda s, d: abuse.p10_rates(t(s, d, "documents"), t(s, d, "doc_reviews")),
+        "p6_found": lambda s, d: names.p6_found(t(s, d, "firm_mentions")),
+        "p6_entities": lambda s, d: names.p6_entities(t(s, d, "firm_mentions")),
     }
 
 
