@@ -239,7 +239,9 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     read = staged(read_names(df, id_col, name, city, region), "names")
     cols = ["kind", "core", "given", "middle", "city", "region", "weak"]
     # identical readings are one representative; copies never meet in a pair
-    reps = staged(read.groupBy(*cols).agg(F.min("id").alias("id")), "name-reps")
+    counts = read.groupBy(*cols).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    support = counts.groupBy("kind", "core").agg(F.sum("n").alias("support"))
+    reps = staged(counts.drop("n").join(support, ["kind", "core"]), "name-reps")
     strong, weak = reps.where("not weak"), reps.where("weak")
 
     # a city typed with one slip keeps its first or its last letters
@@ -248,13 +250,15 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     pairs = _candidates(strong, strong, edits, blocks, blocks)
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in cols])
+        return df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in [*cols, "support"]])
 
     agree = ((F.col("a_region") == "") | (F.col("b_region") == "") | (F.col("a_region") == F.col("b_region"))) & ((F.col("a_middle") == "") | (F.col("b_middle") == "") | (F.col("a_middle") == F.col("b_middle")))
     town = (F.col("a_city") == "") | (F.col("b_city") == "") | (F.levenshtein("a_city", "b_city", 2) >= 0)
     given = (F.col("a_kind") != "person") | F.arrays_overlap("a_given", "b_given")
     initial = F.exists("a_given", lambda g: F.exists("b_given", lambda h: F.when((F.length(g) == 1) | (F.length(h) == 1), F.substring(g, 1, 1) == F.substring(h, 1, 1)).otherwise(g == h)))
-    core = same_word(F.col("a_core"), F.col("b_core"), edits)
+    # two spellings that both occur often are two names: a slip is rarely made twice
+    rare = F.least("a_support", "b_support") <= F.greatest(F.lit(2), F.greatest("a_support", "b_support") / 3)
+    core = (F.col("a_core") == F.col("b_core")) | rare & same_word(F.col("a_core"), F.col("b_core"), edits)
 
     edges = pairs.join(side(strong, "a"), "a").join(side(strong, "b"), "b").where((F.col("a_kind") == F.col("b_kind")) & agree & town & given & core).select("a", "b")
     groups = staged(components(edges), "name-groups")
