@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streetloom.llm import abuse, copies, encodings, leaks, lookalikes, names, vocabmap
+from streetloom.llm import abuse, copies, encodings, leaks, linkage, lookalikes, names, packing, vocabmap
 from streetloom.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: linkage.p1_found(t(s, d, "patient_addresses"), t(s, d, "vocab_entries")),
+        "p1_locations": lambda s, d: linkage.p1_locations(t(s, d, "patient_addresses"), t(s, d, "vocab_entries")),
         "p2_found": lambda s, d: copies.p2_found(t(s, d, "addresses")),
         "p2_ledger": lambda s, d: copies.p2_ledger(t(s, d, "addresses")),
         "p3_found": lambda s, d: lookalikes.p3_found(t(s, d, "addresses")),
@@ -22,6 +24,8 @@ def queries() -> dict[str, Query]:
         "p5_restored": lambda s, d: encodings.wrong_encodings(t(s, d, "addresses")),
         "p7_found": lambda s, d: vocabmap.p7_found(t(s, d, "addresses"), t(s, d, "vocab_entries")),
         "p7_unmatched": lambda s, d: vocabmap.p7_unmatched(t(s, d, "addresses"), t(s, d, "vocab_entries")),
+        "p8_containers": lambda s, d: packing.p8_containers(t(s, d, "documents")),
+        "p8_fill": lambda s, d: packing.p8_fill(t(s, d, "documents")),
         "p9_found": lambda s, d: leaks.p9_found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_spans": lambda s, d: leaks.p9_spans(t(s, d, "documents"), t(s, d, "eval_items")),
         "p10_found": lambda s, d: abuse.p10_found(t(s, d, "documents"), t(s, d, "doc_reviews")),
