@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streetloom.llm import abuse, copies, encodings, leaks, linkage, lookalikes, names, packing, vocabmap
+from streetloom.llm import abuse, copies, encodings, leaks, linkage, lookalikes, names, packing, sites, vocabmap
 from streetloom.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "p2_ledger": lambda s, d: copies.p2_ledger(t(s, d, "addresses")),
         "p3_found": lambda s, d: lookalikes.p3_found(t(s, d, "addresses")),
         "p3_canonical": lambda s, d: lookalikes.look_alikes(t(s, d, "addresses")),
+        "p4_found": lambda s, d: sites.p4_found(t(s, d, "clinic_sites"), t(s, d, "payer_sites"), t(s, d, "vocab_entries")),
+        "p4_matches": lambda s, d: sites.p4_matches(t(s, d, "clinic_sites"), t(s, d, "payer_sites"), t(s, d, "vocab_entries")),
         "p5_found": lambda s, d: encodings.p5_found(t(s, d, "addresses")),
         "p5_restored": lambda s, d: encodings.wrong_encodings(t(s, d, "addresses")),
         "p7_found": lambda s, d: vocabmap.p7_found(t(s, d, "addresses"), t(s, d, "vocab_entries")),
