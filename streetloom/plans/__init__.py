@@ -1,13 +1,6 @@
 """Registered queries of the core engine and their SQL."""
 
+from streetloom.plans.core import core_queries, flagship
+from streetloom.plans.oracle import core_oracle_sql
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
-
-
-def core_queries():
-    return {}
-
-
-def core_oracle_sql():
-    return {}
+__all__ = ["core_oracle_sql", "core_queries", "flagship"]
