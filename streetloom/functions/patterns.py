@@ -114,10 +114,12 @@ def highway_normalize(c: Column) -> Column:
     several = "|".join(k for k in states if " " in k)
     text = F.regexp_replace(collapse_space(F.upper(c)), r"(?<=^| )(IH?)([0-9]+[A-Z]*)(?= |$)", "$1 $2")
 
-    def rules(s: Column) -> Column:
+    def with_state(s: Column) -> Column:
         rest = F.regexp_extract(s, f"^(?:{names}) (.+)$", 1)
         state = F.when(s.isin(*several.split("|")), F.lit(None)).otherwise(look_up(F.regexp_extract(s, f"^({names}) .+$", 1), states))
-        with_state = let(F.when(state.isNotNull(), rest), lambda r: F.coalesce(_core(r), F.when(r.rlike(f"^{_D}(?: |$)"), F.concat(F.lit("HIGHWAY "), _tail(r)))))
-        return F.coalesce(F.concat_ws(" ", F.when(with_state.isNotNull(), state), with_state).alias("x"), F.lit("")), s
+        name = let(F.when(state.isNotNull(), rest), lambda r: F.coalesce(_core(r), F.when(r.rlike(f"^{_D}(?: |$)"), F.concat(F.lit("HIGHWAY "), _tail(r)))))
+        return let(name, lambda x: F.when(x.isNotNull(), F.concat(state, F.lit(" "), x)))
 
-    return let(text, lambda s: F.coalesce(F.nullif(rules(s)[0], F.lit("")), _core(s)))
+    # one test of the first words spares most names the rules
+    begins = f"{_OPENING}|^(?:{names}) "
+    return let(text, lambda s: F.when(s.rlike(begins), F.coalesce(F.nullif(with_state(s), F.lit("")), _core(s))))

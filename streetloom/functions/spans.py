@@ -14,8 +14,10 @@ CLAIM = f"struct<vocab:string,seq:int,confidence:int,start:int,`end`:int,parts:a
 
 def tokenize(text: Column) -> Column:
     """ARRAY<TOKEN>: words between blanks and commas; a word right after commas knows how many there were in its line."""
-    lines = F.split(text, "\n", -1)
+    return let(F.split(text, "\n", -1), _line_tokens)
 
+
+def _line_tokens(lines: Column) -> Column:
     def line_tokens(line: Column, number: Column) -> Column:
         pieces = F.regexp_extract_all(line, F.lit(r"([^, \t\n\f\r]+|[, \t\n\f\r]+)"), F.lit(1))
         start = F.struct(F.array().cast(f"array<{TOKEN}>").alias("out"), F.lit(-1).alias("commas"), F.lit(-1).alias("follows"))
@@ -58,13 +60,15 @@ def line_start(tokens: Column, at: Column) -> Column:
 
 def spans(tokens: Column, most: int) -> Column:
     """ARRAY<STRUCT<start, length, text>>: starts ascending, lengths from most down to 1."""
-    texts = F.transform(tokens, lambda t: t["text"])
-    n = F.size(tokens)
+    def over(texts: Column) -> Column:
+        n = F.size(texts)
+
+        def at(i: Column) -> Column:
+            return F.transform(F.sequence(F.least(F.lit(most), n - i), F.lit(1), F.lit(-1)), lambda k: F.struct(i.alias("start"), k.alias("length"), F.array_join(F.slice(texts, i + 1, k), " ").alias("text")))
 
-    def at(i: Column) -> Column:
-        return F.transform(F.sequence(F.least(F.lit(most), n - i), F.lit(1), F.lit(-1)), lambda k: F.struct(i.alias("start"), k.alias("length"), F.array_join(F.slice(texts, i + 1, k), " ").alias("text")))
+        return F.flatten(F.transform(indexes(n), at))
 
-    return F.flatten(F.transform(indexes(n), at))
+    return let(F.transform(tokens, lambda t: t["text"]), over)
 
 
 def part(start: Column, length: Column, name: str | Column, value: Column) -> Column:

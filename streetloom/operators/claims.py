@@ -90,15 +90,18 @@ def highway(tokens: Column) -> Column:
 
 def _shortest(tokens: Column, least: int, most: int, value) -> Column:
     """For each start the shortest run on its line that value recognises: ARRAY<STRUCT<s, v>>."""
-    texts = F.transform(tokens, lambda t: t["text"])
+    def over(texts: Column) -> Column:
+        def at(i: Column) -> Column:
+            def within(limit: Column) -> Column:
+                runs = F.when(limit >= least, F.sequence(F.lit(least), limit)).otherwise(F.array().cast("array<int>"))
+                tried = F.transform(F.transform(runs, lambda k: F.struct(i.alias("start"), k.alias("length"), F.array_join(F.slice(texts, i + 1, k), " ").alias("text"))), lambda s: F.struct(s.alias("s"), value(s["text"]).alias("v")))
+                return F.slice(F.filter(tried, lambda x: x["v"].isNotNull()), 1, 1)
 
-    def at(i: Column) -> Column:
-        limit = F.least(F.lit(most), line_end(tokens, i) - i)
-        runs = F.when(limit >= least, F.sequence(F.lit(least), limit)).otherwise(F.array().cast("array<int>"))
-        tried = F.transform(runs, lambda k: F.struct(F.struct(i.alias("start"), k.alias("length"), F.array_join(F.slice(texts, i + 1, k), " ").alias("text")).alias("s"), value(F.array_join(F.slice(texts, i + 1, k), " ")).alias("v")))
-        return F.slice(F.filter(tried, lambda x: x["v"].isNotNull()), 1, 1)
+            return let(F.least(F.lit(most), line_end(tokens, i) - i), within)
 
-    return F.flatten(F.transform(indexes(F.size(tokens)), at))
+        return F.flatten(F.transform(indexes(F.size(texts)), at))
+
+    return let(F.transform(tokens, lambda t: t["text"]), over)
 
 
 def pobox(tokens: Column) -> Column:
@@ -158,12 +161,18 @@ def claims_array(tokens: Column, vocabularies: list[str] | None = None) -> Colum
 
 
 def with_tokens(df: DataFrame, text: str = "raw") -> DataFrame:
-    return df.withColumn("tokens", tokenize(F.coalesce(F.col(text), F.lit(""))))
+    return computed_once(df, "tokens", tokenize(F.coalesce(F.col(text), F.lit(""))))
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later expressions read as a column. As a plain projection it would be merged into
+    them and computed anew for every use, inside loops over arrays too; a generator of one row isn't merged."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def with_claims(df: DataFrame, vocabularies: list[str] | None = None) -> DataFrame:
-    """df with tokens, plus the claims array. Tokens should be a stored column, not a long expression."""
-    return df.withColumn("claims", claims_array(F.col("tokens"), vocabularies))
+    """df with tokens, plus the claims array."""
+    return computed_once(df, "claims", claims_array(F.col("tokens"), vocabularies))
 
 
 def claim_rows(df: DataFrame, id_col: str, vocabularies: list[str] | None = None) -> DataFrame:
