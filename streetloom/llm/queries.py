@@ -37,5 +37,15 @@ def queries() -> dict[str, Query]:
     }
 
 
+_KEYED = """rows_ AS (SELECT addr_id, """ + ", ".join(f"regexp_replace(upper(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS c{i}" for i, c in enumerate(copies.FIXED)) + """,
+  list_sort([""" + ", ".join(f"regexp_replace(upper(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')" for c in copies.SWAPPABLE) + """]) AS s FROM addresses),
+grp AS (SELECT min(addr_id) AS first_addr_id, count(*) AS n_copies, list(addr_id) AS ids FROM rows_ GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    cols = ", ".join(f"c{i}" for i in range(len(copies.FIXED)))
+    keyed = _KEYED.replace("GROUP BY ALL", f"GROUP BY {cols}, s")
+    return {
+        "p2_ledger": f"WITH {keyed} SELECT first_addr_id, n_copies FROM grp",
+        "p2_found": f"WITH {keyed} SELECT first_addr_id, addr_id FROM (SELECT first_addr_id, unnest(ids) AS addr_id FROM grp) WHERE addr_id <> first_addr_id",
+    }
