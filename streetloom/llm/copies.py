@@ -50,7 +50,7 @@ class CopyLedger:
 
     SCHEMA = "k1 long, k2 long, n long, first_id long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path or new_path(spark, "ledger"), buckets
         self.where: dict[int, str] = {}
         fs, p = self._fs("manifest")
