@@ -141,6 +141,8 @@ class FieldMapper:
 
     def mentions(self, v: str) -> list[tuple[str, str]]:
         """(name, code) of the longest non-overlapping names in v; names of one or two letters only as the whole."""
+        if not self.names:
+            return []
         text, hits = f" {v} ", []
         for end, (name, code) in self.automaton.iter(text):
             if len(name) > 2 or name == v:
