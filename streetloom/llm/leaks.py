@@ -75,13 +75,15 @@ class WordIndex:
     """FM-index of a sequence of word ids; 0 is a separator, which never matches."""
 
     def __init__(self, ids: np.ndarray, n_words: int, sample: int = 8):
+        if not len(ids) or ids[-1]:
+            ids = np.append(ids, 0)  # the last word needs a suffix after it
         n = len(ids)
         separators = ids == 0
         n_sep = int(separators.sum())
         keys = ids.astype(np.int64) + n_sep
         keys[separators] = np.arange(n_sep)  # each separator differs from every other
         self.sa = suffix_array(keys)
-        before = np.concatenate(([0], ids[:-1])) if n else ids
+        before = np.concatenate(([0], ids[:-1]))
         self.bwt = before[self.sa]
         self.first = n_sep + np.concatenate(([0, 0], np.cumsum(np.bincount(ids[~separators], minlength=n_words + 1)[1:])))
         self.ranks = WaveletMatrix(self.bwt.astype(np.int64), max(1, int(n_words).bit_length()))
