@@ -20,7 +20,7 @@ _RATES = {"city_region_postal": (100, 90), "city_region": (90, 75), "city_postal
 def _ending_at(claims: Column, name: str, end: Column) -> Column:
     """Claims of the one part name that end at end, as ARRAY<MEMBER>."""
     numbered = F.transform(claims, lambda c, i: F.struct(i.cast("int").alias("idx"), c["start"].alias("start"), c["parts"].alias("parts"), c["end"].alias("end")))
-    hits = F.filter(numbered, lambda c: (F.size(c["parts"]) == 1) & (F.element_at(c["parts"], 1)["part"] == name) & (c["end"] == end))
+    hits = F.filter(numbered, lambda c: (F.size(c["parts"]) == 1) & (F.try_element_at(c["parts"], F.lit(1))["part"] == name) & (c["end"] == end))
     return F.transform(hits, lambda c: F.struct(c["idx"], c["start"], c["parts"])).cast(f"array<{_MEMBER}>")
 
 
@@ -28,7 +28,7 @@ def _assemble(n: Column, start: Column, shape: str, rate: Column, extra: Column,
     parts = F.array_sort(F.concat(extra, F.flatten(F.transform(members, lambda m: m["parts"]))))
 
     def finish(parts: Column) -> Column:
-        first = F.least(start, F.coalesce(F.element_at(F.transform(parts, lambda p: p["start"]), 1), start))
+        first = F.least(start, F.coalesce(F.try_element_at(F.transform(parts, lambda p: p["start"]), F.lit(1)), start))
 
         def rest(left: Column) -> Column:
             return F.struct(F.lit(shape).alias("shape"), first.cast("int").alias("start"), (n - first).cast("int").alias("length"), demote(rate, F.size(left)).cast("int").alias("confidence"), parts.alias("parts"), left.alias("leftover"), F.transform(members, lambda m: m["idx"]).alias("members"))
@@ -46,11 +46,11 @@ def line_readings(tokens: Column, claims: Column) -> Column:
 
     def cities(shape: str, line: Column, end: Column, members: Column) -> Column:
         starts = F.when(end > line, F.sequence(line, end - 1)).otherwise(F.array().cast("array<int>"))
-        comma = lambda i: F.element_at(tokens, i + 1)["follows_comma"] >= 0
+        comma = lambda i: F.try_element_at(tokens, i + 1)["follows_comma"] >= 0
         starts = F.filter(starts, lambda i: (i == line) | comma(i) | (end - i <= MOST_CITY))
 
         def reading(i: Column) -> Column:
-            marked = comma(i) | ((i == line) & (F.element_at(tokens, i + 1)["line"] > 0))
+            marked = comma(i) | ((i == line) & (F.try_element_at(tokens, i + 1)["line"] > 0))
             text = token_join(tokens, i, end - i)
             city = F.struct(i.cast("int").alias("start"), (end - i).cast("int").alias("length"), F.lit("city").alias("part"), F.when(F.upper(text) == "UNKNOWN", F.lit("")).otherwise(F.upper(text)).alias("value"))
             good, poor = _RATES[shape]

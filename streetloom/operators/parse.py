@@ -53,7 +53,7 @@ def street_candidates(lines: DataFrame) -> DataFrame:
     before = F.col("line")["start"]
     last = F.try_element_at("tokens", before)["line"]
     indexed = F.filter(F.transform(F.col("tokens"), lambda t, i: F.struct(i.alias("i"), t["line"].alias("line"))), lambda x: (x["i"] < before) & (x["line"] == last))
-    first = F.coalesce(F.element_at(F.transform(indexed, lambda x: x["i"]), 1), before)
+    first = F.coalesce(F.try_element_at(F.transform(indexed, lambda x: x["i"]), F.lit(1)), before)
     rows = lines.where(before > 0).withColumn("_s", street_parts(token_join(F.col("tokens"), first, before - first))).withColumn("_b", token_join(F.col("tokens"), F.lit(0), first))
     got = {n: c for n, c in zip(FIELDS, assign(F.col("line")["parts"]))}
     own = ["primary_number", "predirectional", "street_name", "street_suffix", "postdirectional", "secondary_designator", "secondary_number"]
@@ -135,7 +135,7 @@ def split_road(road: Column) -> Column:
             named = F.transform(middle, lambda p, i: F.when((i == at - x["lead"]) & (F.size(middle) > 1), F.coalesce(look.suffix_short(p), p)).otherwise(p))
             pre = F.when(x["lead"] == 2, two).when(x["lead"] == 1, one).otherwise(F.lit(""))
             post = F.when(x["trail"] == 2, end2).when(x["trail"] == 1, end1).otherwise(F.lit(""))
-            whole = F.struct(F.lit("").alias("predirectional"), F.element_at(w, 1).alias("street_name"), F.lit("").alias("postdirectional"))
+            whole = F.struct(F.lit("").alias("predirectional"), F.try_element_at(w, F.lit(1)).alias("street_name"), F.lit("").alias("postdirectional"))
             return F.when(n < 2, whole).otherwise(F.struct(pre.alias("predirectional"), F.array_join(named, " ").alias("street_name"), post.alias("postdirectional")))
 
         return let(F.struct(lead.alias("lead"), trail.alias("trail")), cut)
