@@ -1,9 +1,10 @@
 """Problem 6: variant spellings of names typed by people.
 
 Method: pigeonhole segment join. The distinctive word of a name (a surname, or what is left of a firm's name without
-the words of its trade) is cut into k+2 segments (k edits, one of which may be an exchange across a cut); every name
+the words of its trade) is cut into 2k+1 segments (k edits, each of which may be an exchange across a cut); every name
 looks up position-shifted substrings in the inverted index of segments, and a banded edit distance verifies the
-pairs. Trade, given name, city and region must agree as far as they are known.
+pairs. k is one more where one of the words has LONG letters. Trade, given name, city and region must agree as far as
+they are known.
 
 Names that say too little alone (no city, only an initial, a nickname of two given names) join an entity only if
 there is one they fit. Entities are connected components of the verified links.
@@ -20,6 +21,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from streetloom.operators.components import components
 from streetloom.session import staged
@@ -43,6 +45,8 @@ GIVEN = {
     "guadalupe": "lupe lupita", "james": "jim jimmy jamie", "joseph": "joe pepe joey", "katherine": "kate kathy kit katie kathie", "margaret": "maggie meg peggy marge", "patricia": "pat patty trish tricia", "richard": "dick rick rich ricky", "robert": "bob bobby rob robbie bert",
     "susan": "sue suzie susie", "theodore": "ted theo teddy", "victoria": "tori vicky vicki", "william": "bill billy will willy liam", "john": "jack johnny", "michael": "mike", "thomas": "tom tommy", "david": "dave", "daniel": "dan danny", "jennifer": "jen jenny", "barbara": "barb", "catherine": "cathy cat",
 }
+#: Letters from which a word may carry one edit more.
+LONG = 8
 _PLACE = {"st": "saint", "ste": "saint", "ft": "fort", "mt": "mount", "n": "north", "s": "south", "e": "east", "w": "west", "hts": "heights", "jct": "junction", "vly": "valley", "lk": "lake", "spgs": "springs", "pk": "park", "fls": "falls", "lndg": "landing", "bch": "beach", "nw": "new"}
 
 
@@ -176,22 +180,38 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
 
 
 def index_keys(word: str, edits: int) -> list[str]:
-    parts = edits + 2
-    return [f"{i}:{len(word)}:{word[a:a + n]}" for i, (a, n) in enumerate(segments(len(word), parts)) if n]
+    parts = 2 * edits + 1
+    return [f"{edits}:{i}:{len(word)}:{word[a:a + n]}" for i, (a, n) in enumerate(segments(len(word), parts)) if n]
 
 
-def probe_keys(word: str, edits: int) -> list[str]:
+def probe_keys(word: str, edits: int, lengths: range | None = None) -> list[str]:
     """Substrings at which an indexed word within `edits` of word must agree in one segment."""
     out = set()
-    for other in range(max(edits + 2, len(word) - edits), len(word) + edits + 1):
+    for other in lengths or range(max(edits + 2, len(word) - edits), len(word) + edits + 1):
         delta = len(word) - other
-        for i, (a, n) in enumerate(segments(other, edits + 2)):
+        for i, (a, n) in enumerate(segments(other, 2 * edits + 1)):
             for s in range(-((edits - delta) // 2), (edits + delta) // 2 + 1):
                 if n and 0 <= a + s and a + s + n <= len(word):
-                    out.add(f"{i}:{other}:{word[a + s:a + s + n]}")
+                    out.add(f"{edits}:{i}:{other}:{word[a + s:a + s + n]}")
     return sorted(out)
 
 
+def index_words(word: str, edits: int) -> list[str]:
+    """Segments of word: those for `edits` among short words, and those for one more where one of the two is long."""
+    out = index_keys(word, edits) if len(word) < LONG else []
+    return out + (index_keys(word, edits + 1) if len(word) >= LONG - edits - 1 else [])
+
+
+def probe_words(word: str, edits: int, longer: bool = True) -> list[str]:
+    """Keys of index_words that every word near enough to word has one of; without longer, only words not longer."""
+    n, most = len(word), edits + 1
+    out = []
+    if n < LONG:
+        out += probe_keys(word, edits, range(max(edits + 2, n - edits), min(LONG - 1, n + edits if longer else n) + 1))
+    long_ = range(max(LONG - most, n - most) if n >= LONG else LONG, (n + most if longer else n) + 1)
+    return out + (probe_keys(word, most, long_) if long_ else [])
+
+
 _READ = "kind string, core string, given array<string>, middle string, city string, region string, weak boolean"
 
 
@@ -219,23 +239,41 @@ def same_word(a: Column, b: Column, edits: int) -> Column:
     return (near >= 0) | swap
 
 
-def _candidates(index: DataFrame, probe: DataFrame, edits: int, blocks_a: Column, blocks_b: Column) -> DataFrame:
-    """Pairs (a from index, b from probe) that share a block and a segment. Only hashed keys are shuffled."""
+@F.pandas_udf(BooleanType())
+def _within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([x is None or osa(x, y, int(k)) <= k for x, y, k in zip(a, b, most)])
+
+
+def near_word(a: Column, b: Column, edits: int, sure: Column) -> Column:
+    """same_word within edits; within one more, of which each may be an exchange, where one is long and sure holds."""
+    close, most = same_word(a, b, edits), edits + 1
+    long_ = sure & (F.greatest(F.length(a), F.length(b)) >= LONG)
+    # only what the levenshtein distances leave open is given to Python
+    open_ = long_ & ~close & (F.levenshtein(a, b, most) < 0)
+    may = close | long_ & (F.levenshtein(a, b, 2 * most) >= 0)
+    return may & _within(F.when(open_, a), F.when(open_, b), F.lit(most))
+
+
+def _candidates(index: DataFrame, probe: DataFrame, edits: int, blocks_a: Column, blocks_b: Column, longer: bool = True) -> DataFrame:
+    """Pairs (a from index, b from probe) that share a block and a segment. Only hashed keys are shuffled.
+
+    Without longer, a is never the longer word: enough where both sides are the same table."""
     def keyed(df: DataFrame, make, blocks: Column, out: str) -> DataFrame:
         def run(batches):
             for pdf in batches:
-                keys = [make(w, edits) for w in pdf["core"]]
-                yield pd.DataFrame({"id": pdf["id"].repeat([len(k) for k in keys]).to_numpy(), "blocks": pdf["blocks"].repeat([len(k) for k in keys]).to_numpy(), "seg": [x for k in keys for x in k]})
+                yield pd.DataFrame({"id": pdf["id"], "blocks": pdf["blocks"], "segs": [make(w) for w in pdf["core"]]})
 
-        flat = df.select("id", "core", blocks.alias("blocks")).mapInPandas(run, "id long, blocks array<string>, seg string")
-        return flat.select(F.col("id").alias(out), F.explode("blocks").alias("block"), "seg").select(out, F.xxhash64("block", "seg").alias("key"))
+        flat = df.select("id", "core", blocks.alias("blocks")).mapInPandas(run, "id long, blocks array<string>, segs array<string>")
+        return flat.select(F.col("id").alias(out), "segs", F.explode("blocks").alias("block")).select(out, "block", F.explode("segs").alias("seg")).select(out, F.xxhash64("block", "seg").alias("key"))
 
-    a, b = keyed(index, index_keys, blocks_a, "a"), keyed(probe, probe_keys, blocks_b, "b")
+    a, b = keyed(index, lambda w: index_words(w, edits), blocks_a, "a"), keyed(probe, lambda w: probe_words(w, edits, longer), blocks_b, "b")
     return a.join(b, "key").where("a <> b").select("a", "b").distinct()
 
 
 def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: str = "city", region: str = "region", edits: int = 1) -> DataFrame:
-    """(id, entity): entity is the smallest id of the mentions of the same person or organisation."""
+    """(id, entity): entity is the smallest id of the mentions of the same person or organisation.
+
+    Two spellings are at most edits apart, one more where one of them has LONG letters."""
     read = staged(read_names(df, id_col, name, city, region), "names")
     cols = ["kind", "core", "given", "middle", "city", "region", "weak"]
     # identical readings are one representative; copies never meet in a pair
@@ -247,7 +285,7 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     # a city typed with one slip keeps its first or its last letters
     who = F.concat_ws("|", "kind", F.when(F.col("kind") == "person", F.substring(F.element_at("given", 1), 1, 1)).otherwise(""))
     blocks = F.array(F.concat_ws("|", who, F.lit("<"), F.substring("city", 1, 4)), F.concat_ws("|", who, F.lit(">"), F.substring("city", -4, 4)))
-    pairs = _candidates(strong, strong, edits, blocks, blocks)
+    pairs = _candidates(strong, strong, edits, blocks, blocks, longer=False)
 
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in [*cols, "support"]])
@@ -258,7 +296,9 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     initial = F.exists("a_given", lambda g: F.exists("b_given", lambda h: F.when((F.length(g) == 1) | (F.length(h) == 1), F.substring(g, 1, 1) == F.substring(h, 1, 1)).otherwise(g == h)))
     # two spellings that both occur often are two names: a slip is rarely made twice
     rare = F.least("a_support", "b_support") <= F.greatest(F.lit(2), F.greatest("a_support", "b_support") / 3)
-    core = (F.col("a_core") == F.col("b_core")) | rare & same_word(F.col("a_core"), F.col("b_core"), edits)
+    # a second edit needs a place without doubt: two towns may be two edits apart
+    sure = (F.col("a_city") != "") & (F.col("b_city") != "") & same_word(F.col("a_city"), F.col("b_city"), 1) | (F.col("a_region") != "") & (F.col("a_region") == F.col("b_region"))
+    core = (F.col("a_core") == F.col("b_core")) | rare & near_word(F.col("a_core"), F.col("b_core"), edits, sure)
 
     edges = pairs.join(side(strong, "a"), "a").join(side(strong, "b"), "b").where((F.col("a_kind") == F.col("b_kind")) & agree & town & given & core).select("a", "b")
     groups = staged(components(edges), "name-groups")
@@ -274,7 +314,7 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     slipped = _candidates(strong, weak.where("city = ''"), edits, F.array(F.concat_ws("|", "kind", "region")), F.array(F.concat_ws("|", "kind", "region"))).select("a", "b")
     fit = (nearby.unionByName(anywhere).unionByName(slipped).distinct().join(side(strong, "a"), "a").join(side(weak, "b"), "b")
            .where(((F.col("b_kind") == "") | (F.col("a_kind") == F.col("b_kind"))) & agree & town & core & ((F.col("a_kind") != "person") | (F.col("b_kind") == "") | initial)))
-    fit = fit.select("b", "a", F.when(F.col("a_core") == F.col("b_core"), 0).otherwise(1).alias("d")).join(entity.withColumnRenamed("id", "a"), "a")
+    fit = fit.select("b", "a", F.when(F.col("a_core") == F.col("b_core"), 0).when(same_word(F.col("a_core"), F.col("b_core"), edits), 1).otherwise(2).alias("d")).join(entity.withColumnRenamed("id", "a"), "a")
     best = fit.groupBy("b").agg(F.min("d").alias("least"))
     chosen = fit.join(best, "b").where("d = least").groupBy("b").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select(F.col("b").alias("id"), "entity")
     alone = weak.select("id").join(chosen, "id", "left_anti").select("id", F.col("id").alias("entity"))

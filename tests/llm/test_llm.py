@@ -246,6 +246,24 @@ def test_names(spark):
     assert names.p6_found(df.limit(0)).count() == 0
 
 
+def test_two_slips_in_a_long_word(spark):
+    rng = random.Random(4)
+    seen = 0
+    while seen < 300:
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(6, 11))) for _ in range(2))
+        b = a[:3] + a[4:3:-1] + a[5:7] + b[:1] + a[8:] if rng.random() < 0.5 else a[1::-1] + a[2:4] + a[5:3:-1] + a[6:]
+        if max(len(a), len(b)) >= names.LONG and names.osa(a, b, 2) <= 2:
+            seen += 1
+            short, long_ = sorted((a, b), key=len)
+            assert set(names.index_words(a, 1)) & set(names.probe_words(b, 1)), (a, b)
+            assert set(names.index_words(short, 1)) & set(names.probe_words(long_, 1, longer=False)), (a, b)
+    words = ["femnnatow", "fennatlow", "marblequist", "mrabelquist", "dolby", "dlobi"]
+    rows = [(i, w + " pharmacy", "Dunnport", "OH") for i, w in enumerate(words)] + [(9, "femnnatow pharmacy", "Harbury", "OH")]
+    df = spark.createDataFrame(rows, "mention_id long, business_name string, city string, region string")
+    # the third pair is two edits apart too, but short
+    assert {tuple(r) for r in names.p6_found(df).collect()} == {(0, 1), (2, 3)}
+
+
 # --- p1 and p4 ---
 
 def patients(spark, rows):
