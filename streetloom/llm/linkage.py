@@ -5,7 +5,8 @@ town with house number; candidate pairs are compared part by part, where a part
 its own; the weights of the levels are estimated by expectation-maximisation over the counts of comparison patterns.
 
 A part may be missing on both sides, so a posterior alone can't tell two neighbouring locations apart from one: pairs
-of equal detail link first; a group with less detail joins the one group with more detail it matches, if it is one.
+of equal detail link first; then groups join the places of groups with more detail that they match, most detailed
+first, unless two of those places contradict each other in a part known of both.
 
 Defined results: records without a house number and without a street match only equal readings of themselves with a
 town or postcode; records with nothing to compare match nothing; repeated rows are at the same location.
@@ -14,7 +15,9 @@ town or postcode; records with nothing to compare match nothing; repeated rows a
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +116,71 @@ def chance_pairs(reps: DataFrame, about: int = 5000) -> DataFrame:
     return both.where(F.col("b_kind").isNotNull() & ((F.col("a_number") != F.col("b_number")) | (F.col("a_sound") != F.col("b_sound"))))
 
 
+_DETAIL = ["suffix", "predir", "postdir"]
+_FACTS = ["street", "zip", "city", "region"]
+
+
+def settle(facts: dict[int, tuple[tuple[str, ...], tuple[frozenset, ...]]], edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Place of each group of one component: (known detail, values of the other parts) by group, and matching groups.
+
+    A group whose places to join contradict each other joins none; nothing is joined that contradicts in detail."""
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    of = {g: g for g in facts}
+    members = {g: {g} for g in facts}
+    known = {g: d for g, (d, _) in facts.items()}
+    values = {g: v for g, (_, v) in facts.items()}
+
+    def clash(p: int, q: int) -> bool:
+        (_, pre, post), (_, pre2, post2) = known[p], known[q]
+        # the one direction of each, written on different sides
+        if bool(pre) != bool(post) and bool(pre2) != bool(post2) and (pre or post) != (pre2 or post2):
+            return True
+        return any(x and y and x != y for x, y in zip(known[p], known[q]))
+
+    def apart(p: int, q: int) -> bool:
+        """Two places that one group matches: may they not be one?"""
+        if clash(p, q):
+            return True
+        if any(not near[m].isdisjoint(members[q]) for m in members[p]):
+            return False
+        street, zip_, city, region = (bool(x) and bool(y) and x.isdisjoint(y) for x, y in zip(values[p], values[q]))
+        return street or zip_ or region or city and values[p][1].isdisjoint(values[q][1])
+
+    def join(p: int, q: int) -> None:
+        if p == q or clash(p, q):
+            return
+        p, q = min(p, q), max(p, q)
+        known[p] = tuple(x or y for x, y in zip(known[p], known[q]))
+        values[p] = tuple(x | y for x, y in zip(values[p], values[q]))
+        members[p] |= members[q]
+        for g in members.pop(q):
+            of[g] = p
+
+    detail = {g: sum(x != "" for x in d) for g, (d, _) in facts.items()}
+    for level in range(len(_DETAIL), -1, -1):
+        here = sorted(g for g in facts if detail[g] == level)
+        torn = set()
+        for g in here:
+            to = sorted({of[x] for x in near[g] if detail[x] >= level and not clash(of[g], of[x])})
+            if any(apart(p, q) for i, p in enumerate(to) for q in to[:i]):
+                torn.add(g)
+        for more in (True, False):
+            for g in here:
+                for x in sorted(near[g]) if g not in torn else ():
+                    if detail[x] > level if more else detail[x] == level and x not in torn:
+                        join(of[g], of[x])
+    return of
+
+
+def _settle(edges: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+    facts = {r.id: (tuple(getattr(r, c) for c in _DETAIL), tuple(frozenset(getattr(r, c)) for c in _FACTS)) for r in groups.itertuples()}
+    of = settle(facts, list(zip(edges["a"], edges["b"])))
+    return pd.DataFrame({"id": list(of), "place": list(of.values())})
+
+
 def link_addresses(records: DataFrame, id_col: str, vocab: DataFrame, least: float = 0.9) -> DataFrame:
     """(id, location): location is the smallest id of the records at the same place."""
     read = staged(read_parts(records.where(F.col(id_col).isNotNull()), id_col, vocab), "parts")
@@ -138,13 +206,17 @@ def link_addresses(records: DataFrame, id_col: str, vocab: DataFrame, least: flo
 
     one_missing = (F.col("suffix") == 1) | (F.col("predir") == 1) | (F.col("postdir") == 1)
     first = staged(components(links.where(~one_missing)), "address-groups")
-    group = staged(reps.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("group"), *[F.col(c) for c in ("suffix", "predir", "postdir")]), "address-group-of")
-    detail = group.select("id", "group", ((F.col("suffix") != "").cast("int") + (F.col("predir") != "").cast("int") + (F.col("postdir") != "").cast("int")).alias("detail"))
-    both = links.where(one_missing).select("a", "b").join(detail.toDF("a", "ga", "da"), "a").join(detail.toDF("b", "gb", "db"), "b").where("ga <> gb")
-    towards = both.select(F.when(F.col("da") <= F.col("db"), F.col("ga")).otherwise(F.col("gb")).alias("from"), F.when(F.col("da") <= F.col("db"), F.col("gb")).otherwise(F.col("ga")).alias("to"))
-    unique = towards.groupBy("from").agg(F.min("to").alias("to"), F.max("to").alias("other")).where("to = other").select(F.col("from").alias("a"), F.col("to").alias("b"))
-    second = staged(components(unique), "address-second")
-    place = group.select("id", "group").join(second.withColumnRenamed("id", "group"), "group", "left").select("id", F.coalesce("component", "group").alias("location"))
+    group = staged(reps.join(first, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"), "address-group-of")
+    of = group.select("id", "group")
+    both = links.where(one_missing).select("a", "b").join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").where("ga <> gb")
+    edges = staged(both.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct(), "address-group-links")
+    clusters = staged(components(edges), "address-clusters")
+    # groups are equal in their detail; what else they hold comes along
+    facts = staged(clusters.join(group.withColumnRenamed("id", "rep").withColumnRenamed("group", "id"), "id").groupBy("component", "id").agg(
+        *[F.min(c).alias(c) for c in _DETAIL], *[F.filter(F.collect_set(c), lambda x: x != "").alias(c) for c in _FACTS]), "address-group-facts")
+    inside = edges.join(clusters.withColumnRenamed("id", "a"), "a")
+    second = staged(inside.groupBy("component").cogroup(facts.groupBy("component")).applyInPandas(_settle, "id long, place long"), "address-second")
+    place = of.join(second.withColumnRenamed("id", "group"), "group", "left").select("id", F.coalesce("place", "group").alias("location"))
     of_rep = reps.join(place, "id").select(*PART_NAMES, "location")
     # readings without a number, or with neither town nor postcode, say too little to stand for a place
     vague = (F.col("number") == "") | ((F.col("city") == "") & (F.col("zip") == ""))

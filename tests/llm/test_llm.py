@@ -300,6 +300,38 @@ def test_linkage(spark, vocab):
     assert linkage.p1_found(patients(spark, []).limit(0), vocab).count() == 0
 
 
+def test_less_detail_joins_where_nothing_contradicts(spark, vocab):
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("BCDFGLMNPRST") + rng.choice("AEIOU") for _ in range(4))
+    rows, want = [], set()
+
+    def place(forms, groups):
+        base = dict(primary_number=str(100 + len(rows)), street_name=name(), city=name() + "TOWN", region="OH", postal=str(43000 + len(rows)))
+        at = len(rows)
+        rows.extend(dict(base, predirectional=d, street_suffix=x) for d, x in forms)
+        want.update((at + a, at + b) for g in groups for a in g for b in g if a < b)
+
+    whole = [(None, "ST"), ("N", "ST"), ("N", None), (None, None)]
+    for k in range(24):  # in every order of the ids
+        forms = whole[k % 4:] + whole[:k % 4]
+        place(forms, [range(4)])
+    for _ in range(5):
+        place([("N", "ST"), ("S", "ST"), (None, "ST"), ("N", None), (None, None)], [(0, 3)])
+    got = {tuple(r) for r in linkage.p1_found(patients(spark, rows), vocab).collect()}
+    assert got == want
+
+
+def test_settled_places_hold_no_contradiction():
+    same = (frozenset({"OAK"}), frozenset({"1"}), frozenset(), frozenset())
+    facts = {1: (("", "N", ""), same), 2: (("ST", "", ""), same), 3: (("AVE", "", ""), same), 4: (("ST", "N", ""), same)}
+    assert linkage.settle(facts, [(1, 2), (1, 3), (1, 4), (2, 4)]) == {1: 1, 2: 2, 3: 3, 4: 2}
+    facts = {1: (("RD", "", "N"), same), 2: (("RD", "N", ""), same), 3: (("RD", "S", ""), same)}
+    assert linkage.settle(facts, [(1, 2), (1, 3)]) == {1: 1, 2: 1, 3: 3}
+    other = (frozenset({"OAKEN"}), *same[1:])
+    facts = {1: (("ST", "", ""), same), 2: (("ST", "", ""), other), 3: (("", "", ""), same)}
+    assert linkage.settle(facts, [(1, 3), (2, 3)]) == {1: 1, 2: 2, 3: 3}
+
+
 def test_reading_of_parts():
     e = defaultdict(list)
     for f, code, label in VOCAB:
