@@ -161,11 +161,12 @@ def _assignment(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["s", "g", "confidence"])
 
 
-def assign(scored: DataFrame, exact_edges: int = 5000, most_rounds: int = 20) -> DataFrame:
+def assign(scored: DataFrame, exact_edges: int = 5000) -> DataFrame:
     """One-to-one pairs (s, g, confidence) of the largest total confidence.
 
-    Components of at most exact_edges pairs are solved exactly, each in a task. Larger ones take, in rounds, the
-    pairs that are the best of both sides, which keeps at least half of the best total at any size.
+    Components of at most exact_edges pairs are solved exactly, each in a task. Larger ones take the
+    pairs that are the best of both sides, in rounds until no pair is left, which keeps at least half of the best
+    total at any size. Equal confidences go by a hash of the pair, so that a round takes a share of them.
     """
     edges = staged(scored.groupBy("s", "g").agg(F.max("confidence").alias("confidence")), "assign-edges")
     both = edges.select((F.col("s") * 2).alias("a"), (F.col("g") * 2 + 1).alias("b"))
@@ -175,12 +176,10 @@ def assign(scored: DataFrame, exact_edges: int = 5000, most_rounds: int = 20) ->
     small = tagged.join(size.where(F.col("count") <= exact_edges).select("component"), "component", "left_semi")
     out = small.groupBy("component").applyInPandas(lambda pdf: _assignment(pdf), "s long, g long, confidence double")
     rest = staged(tagged.join(size.where(F.col("count") > exact_edges).select("component"), "component", "left_semi").select("s", "g", "confidence"), "assign-rest")
-    for _ in range(most_rounds):
-        if rest.isEmpty():
-            break
-        order = F.struct(F.col("confidence"), (-F.col("s")).alias("x"), (-F.col("g")).alias("y"))
-        best_s = rest.groupBy("s").agg(F.max(order).alias("m")).select("s", (-F.col("m.y")).alias("g"))
-        best_g = rest.groupBy("g").agg(F.max(order).alias("m")).select((-F.col("m.x")).alias("s"), "g")
+    order = F.struct("confidence", F.xxhash64("s", "g").alias("h"), "s", "g")
+    while not rest.isEmpty():
+        best_s = rest.groupBy("s").agg(F.max(order).alias("m")).select("s", F.col("m.g").alias("g"))
+        best_g = rest.groupBy("g").agg(F.max(order).alias("m")).select(F.col("m.s").alias("s"), "g")
         taken = staged(rest.join(best_s, ["s", "g"]).join(best_g, ["s", "g"]), "assign-taken")
         out = out.unionByName(taken)
         rest = staged(rest.join(taken.select("s"), "s", "left_anti").join(taken.select("g"), "g", "left_anti"), "assign-rest")

@@ -366,6 +366,13 @@ def test_assignment_is_the_best_in_total(spark):
     assert len({s for s, _ in rounds}) == len(rounds) == len({g for _, g in rounds}) and (1, 1) in rounds
 
 
+def test_rounds_leave_no_pair(spark):
+    n = 50
+    df = spark.createDataFrame([(s, g, 0.9) for s in range(n) for g in range(n)], "s long, g long, confidence double")
+    got = sites.assign(df, exact_edges=100).collect()
+    assert len(got) == n == len({r["s"] for r in got}) == len({r["g"] for r in got})
+
+
 def test_windows_lose_nothing_at_cuts(spark):
     n = 500
     df = spark.range(n).select("id", F.lit(1).alias("src"), F.lit("same").alias("a"))
