@@ -6,7 +6,8 @@ their occurrences located by sampled suffix positions. Occurrences on nearly one
 pieces of a document and item give the covered item words, and covered stretches merge to removal spans.
 
 Words that no test item has only break phrases; each run of them is one separator symbol of its own. Phrases of at
-least three items, or in more than stock_share of the distinct texts, are stock and do not count.
+least three items, or in more than stock_share of the distinct texts, are stock and do not count; those of three
+items do where they belong to an exact run of LONG_RUN words.
 
 Defined results: null and empty texts have no leak; repeated rows each give theirs; a repeated item_id counts as
 one item with the texts joined; an empty table on either side gives an empty result.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 from streetloom.session import staged
 
+#: Words of an exact run that counts even where three items share it.
+LONG_RUN = 25
 _WORD = re.compile(r"\w+")
 
 
@@ -205,6 +208,21 @@ def pieces(points: list[tuple[int, int]], k: int, gap: int = 7, drift: int = 4)
     return [[a, b + k, c, d + k] for a, b, c, d in out]
 
 
+def in_long_runs(points: list[tuple[int, int]], k: int, least: int = LONG_RUN) -> set[tuple[int, int]]:
+    """Hits (word of the document, word of the item) of k words that belong to an exact run of least words."""
+    out: set[tuple[int, int]] = set()
+    run: list[tuple[int, int]] = []
+    for q, p in sorted(set(points), key=lambda x: (x[0] - x[1], x[0])):
+        if not run or (q - 1, p - 1) != run[-1]:
+            run = []
+        run.append((q, p))
+        if len(run) + k - 1 == least:
+            out.update(run)
+        elif len(run) + k - 1 > least:
+            out.add((q, p))
+    return out
+
+
 def union_length(spans: list[tuple[int, int]]) -> int:
     total, end = 0, -1
     for a, b in sorted(spans):
@@ -227,20 +245,25 @@ def leaks(documents: DataFrame, eval_items: DataFrame, phrase_words: int = 4, le
     n_texts = documents.agg(F.approx_count_distinct("text")).first()[0]
     often = found.select("text_hash", F.explode(F.array_distinct("phrases")).alias("phrase")).distinct().groupBy("phrase").count().where(F.col("count") > max(stock_share * n_texts, 10))
     stock = {r[0] for r in often.select("phrase").collect()}  # at most the phrases of the test set
-    stock |= {j for j, places in enumerate(items.from_) if len({i for i, _ in places}) >= 3}
-    shared = spark.sparkContext.broadcast((items.from_, stock))
+    several = {j for j, places in enumerate(items.from_) if len({i for i, _ in places}) >= 3}
+    shared = spark.sparkContext.broadcast((items.from_, stock, several))
 
     def cover(batches):
-        from_, stock = shared.value
+        from_, stock, several = shared.value
         for pdf in batches:
             out = []
             for doc, phrases, places in zip(pdf["doc_id"], pdf["phrases"], pdf["places"]):
-                by_item = defaultdict(list)
+                by_item, common = defaultdict(list), defaultdict(set)
                 for j, q in zip(phrases, places):
                     if j not in stock:
                         for i, p in from_[j]:
                             by_item[i].append((int(q), p))
+                            if j in several:
+                                common[i].add((int(q), p))
                 for i, points in by_item.items():
+                    if common[i]:
+                        long_ = in_long_runs(points, phrase_words)
+                        points = [x for x in points if x not in common[i] or x in long_]
                     found = pieces(points, phrase_words)
                     n = union_length([(c, d) for _, _, c, d in found])
                     if n >= least_words:

@@ -175,6 +175,16 @@ def test_leaks(spark):
     assert leaks.p9_found(df.limit(0), ev).count() == 0 and leaks.p9_found(df, ev.limit(0)).count() == 0
 
 
+def test_long_passage_of_three_items_is_a_leak(spark):
+    rng = random.Random(8)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage, sentence = text(30), text(12)
+    items = [(i, " ".join(text(20) + passage + text(9) + sentence)) for i in (1, 2, 3)]
+    docs = [(d, " ".join(text(40))) for d in range(50)] + [(100, " ".join(text(9) + passage + text(9))), (101, " ".join(text(9) + sentence + sentence + text(9))), (102, " ".join(text(9) + passage[:24] + text(9)))]
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in leaks.p9_found(df, ev).collect()} == {(100, 1), (100, 2), (100, 3)}
+
+
 # --- p8 ---
 
 @settings(max_examples=40, deadline=None)
