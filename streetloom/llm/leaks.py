@@ -6,8 +6,9 @@ their occurrences located by sampled suffix positions. Occurrences on nearly one
 pieces of a document and item give the covered item words, and covered stretches merge to removal spans.
 
 Words that no test item has only break phrases; each run of them is one separator symbol of its own. Phrases of at
-least three items, or in more than stock_share of the distinct texts, are stock and do not count; those of three
-items do where they belong to an exact run of LONG_RUN words.
+least three items, or in more than stock_share of the distinct texts, are stock and do not count, unless they belong
+to an exact run of LONG_RUN words of the item in the document: a passage of that length counts however many texts or
+items hold it.
 
 Defined results: null and empty texts have no leak; repeated rows each give theirs; a repeated item_id counts as
 one item with the texts joined; an empty table on either side gives an empty result.
@@ -20,12 +21,12 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetloom.session import staged
 
-#: Words of an exact run that counts even where three items share it.
+#: Words of an exact run that counts even where many texts or three items hold it.
 LONG_RUN = 25
 _WORD = re.compile(r"\w+")
 
@@ -85,18 +86,19 @@ class WordIndex:
         n_sep = int(separators.sum())
         keys = ids.astype(np.int64) + n_sep
         keys[separators] = np.arange(n_sep)  # each separator differs from every other
-        self.sa = suffix_array(keys)
-        before = np.concatenate(([0], ids[:-1]))
-        self.bwt = before[self.sa]
+        sa = suffix_array(keys)
+        self.n = n
+        self.bwt = np.concatenate(([0], ids[:-1]))[sa].astype(np.int32)
         self.first = n_sep + np.concatenate(([0, 0], np.cumsum(np.bincount(ids[~separators], minlength=n_words + 1)[1:])))
         self.ranks = WaveletMatrix(self.bwt.astype(np.int64), max(1, int(n_words).bit_length()))
-        # positions after a separator end the walk of locate, besides every sample-th one
-        self.known = (self.sa % sample == 0) | (self.bwt == 0)
-        self.place = np.where(self.known, self.sa, -1)
+        # positions after a separator end the walk of locate, besides every sample-th one; only theirs are kept
+        self.known = (sa % sample == 0) | (self.bwt == 0)
+        self.place = sa[self.known].astype(np.int32)
+        self.before = np.concatenate(([0], np.cumsum(self.known))).astype(np.int32)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the range of suffixes that begin with each row of phrases."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.sa), np.int64)
+        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         for j in range(phrases.shape[1] - 1, -1, -1):
             c = phrases[:, j]
             low, high = self.first[c] + self.ranks.rank(c, low), self.first[c] + self.ranks.rank(c, high)
@@ -108,7 +110,7 @@ class WordIndex:
         at, open_ = rows.copy(), np.arange(len(rows))
         while len(open_):
             done = self.known[at]
-            out[open_[done]] = self.place[at[done]] + steps
+            out[open_[done]] = self.place[self.before[at[done]]] + steps
             at, open_ = at[~done], open_[~done]
             c = self.bwt[at].astype(np.int64)
             at = self.first[c] + self.ranks.rank(c, at)
@@ -133,10 +135,10 @@ class TestPhrases:
         self.from_ = [self.places[tuple(p)] for p in self.phrases.tolist()]
 
 
-def _index_shards(items: TestPhrases, shard_words: int):
-    """mapInPandas function: (doc_id, text) to (doc_id, text_hash, phrase ids, word positions) of documents with hits."""
+def _index_shards(shared, shard_words: int):
+    """mapInPandas function over broadcast test phrases: (doc_id, text) to (doc_id, text_hash, phrase ids, word positions) of documents with hits."""
 
-    def hits(docs: list, texts: list[str], ids: list[int], at: list[int], doc_of: list[int]):
+    def hits(items: TestPhrases, docs: list, texts: list[str], ids: list[int], at: list[int], doc_of: list[int]):
         if not ids or not len(items.phrases):
             return None
         index = WordIndex(np.array(ids, np.int64), len(items.vocab))
@@ -154,10 +156,11 @@ def _index_shards(items: TestPhrases, shard_words: int):
     def run(batches):
         import xxhash
 
+        items = shared.value
         docs, texts, ids, at, doc_of = [], [], [], [], []
 
         def finish():
-            out = hits(docs, texts, ids, at, doc_of)
+            out = hits(items, docs, texts, ids, at, doc_of)
             if out is not None:
                 out["text"] = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(t))) for t in out["text"]]
                 return out.rename(columns={"text": "text_hash"})
@@ -232,34 +235,46 @@ def union_length(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, phrase_words: int = 4, least_words: int = 16, stock_share: float = 0.01, shard_words: int = 400_000) -> DataFrame:
+def phrase_hits(documents: DataFrame, eval_items: DataFrame, phrase_words: int, shard_words: int, most_chars: int) -> tuple[DataFrame, TestPhrases]:
+    """((doc_id, text_hash, phrases, places), the test phrases): where the phrases of the test set stand.
+
+    The test set comes to the driver and is broadcast; it may have most_chars characters, and more is refused: give it
+    in parts then. The corpus is only read."""
+    named = eval_items.where(F.col("item_id").isNotNull())
+    chars = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars > most_chars:
+        raise ValueError(f"the test set has {chars} characters, more than {most_chars}: search it in parts")
+    items = TestPhrases([(r[0], r[1]) for r in named.select("item_id", "text").collect()], phrase_words)
+    shared = documents.sparkSession.sparkContext.broadcast(items)
+    found = documents.select("doc_id", "text").mapInPandas(_index_shards(shared, shard_words), "doc_id long, text_hash long, phrases array<int>, places array<int>")
+    return staged(found, "phrase-hits"), items
+
+
+def leaks(documents: DataFrame, eval_items: DataFrame, phrase_words: int = 4, least_words: int = 16, stock_share: float = 0.01, shard_words: int = 400_000, most_chars: int = 50_000_000) -> DataFrame:
     """(doc_id, item_id, n_words, spans ARRAY<STRUCT<first, last>>): documents that carry an item's wording.
 
-    least_words counts item words in pieces beyond stock phrases and altered edges: passages of 25 words keep at
-    least that many, quotations under ten words never do. eval_items comes to the driver: it is a test set.
+    least_words counts item words in pieces beyond stock phrases and altered edges. A passage of 25 words whose pieces
+    hide no more than a quotation's worth of words (nine) so keeps 16; a quotation has nine at most.
     """
     spark = documents.sparkSession
-    items = TestPhrases([(r[0], r[1]) for r in eval_items.where(F.col("item_id").isNotNull()).select("item_id", "text").collect()], phrase_words)
-    found = documents.select("doc_id", "text").mapInPandas(_index_shards(items, shard_words), "doc_id long, text_hash long, phrases array<int>, places array<int>")
-    found = staged(found, "phrase-hits")
-    n_texts = documents.agg(F.approx_count_distinct("text")).first()[0]
+    found, items = phrase_hits(documents, eval_items, phrase_words, shard_words, most_chars)
+    n_texts = documents.where("text <> ''").select(F.xxhash64("text").alias("h")).distinct().count()
     often = found.select("text_hash", F.explode(F.array_distinct("phrases")).alias("phrase")).distinct().groupBy("phrase").count().where(F.col("count") > max(stock_share * n_texts, 10))
     stock = {r[0] for r in often.select("phrase").collect()}  # at most the phrases of the test set
-    several = {j for j, places in enumerate(items.from_) if len({i for i, _ in places}) >= 3}
-    shared = spark.sparkContext.broadcast((items.from_, stock, several))
+    stock |= {j for j, places in enumerate(items.from_) if len({i for i, _ in places}) >= 3}
+    shared = spark.sparkContext.broadcast((items.from_, stock))
 
     def cover(batches):
-        from_, stock, several = shared.value
+        from_, stock = shared.value
         for pdf in batches:
             out = []
             for doc, phrases, places in zip(pdf["doc_id"], pdf["phrases"], pdf["places"]):
                 by_item, common = defaultdict(list), defaultdict(set)
                 for j, q in zip(phrases, places):
-                    if j not in stock:
-                        for i, p in from_[j]:
-                            by_item[i].append((int(q), p))
-                            if j in several:
-                                common[i].add((int(q), p))
+                    for i, p in from_[j]:
+                        by_item[i].append((int(q), p))
+                        if j in stock:
+                            common[i].add((int(q), p))
                 for i, points in by_item.items():
                     if common[i]:
                         long_ = in_long_runs(points, phrase_words)
@@ -277,23 +292,20 @@ def p9_found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     return leaks(documents, eval_items).select("doc_id", "item_id").distinct()
 
 
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, item_id, first, last) to doc_id, first_word, last_word (excluded), item_ids: spans that touch are one."""
+    by = Window.partitionBy("doc_id").orderBy("first", "last", "item_id")
+    before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", (before.isNull() | (F.col("first") > before)).cast("int")).withColumn("stretch", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return opened.groupBy("doc_id", "stretch").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.array_sort(F.collect_set("item_id")).alias("item_ids")).drop("stretch")
+
+
 def p9_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """Merged removal spans: doc_id, first_word, last_word (excluded), item_ids."""
+    return merge_spans(leaks(documents, eval_items).select("doc_id", "item_id", F.explode("spans").alias("s")).select("doc_id", "item_id", "s.first", "s.last"))
 
-    def merge(batches):
-        for pdf in batches:
-            out = []
-            for doc, items, spans in zip(pdf["doc_id"], pdf["items"], pdf["spans"]):
-                flat = sorted((s["first"], s["last"], i) for i, group in zip(items, spans) for s in group)
-                merged: list = []
-                for a, b, i in flat:
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                        merged[-1][2].add(i)
-                    else:
-                        merged.append([a, b, {i}])
-                out += [(doc, a, b, sorted(x)) for a, b, x in merged]
-            yield pd.DataFrame(out, columns=["doc_id", "first_word", "last_word", "item_ids"])
-
-    return (leaks(documents, eval_items).groupBy("doc_id").agg(F.collect_list("item_id").alias("items"), F.collect_list("spans").alias("spans"))
-            .mapInPandas(merge, "doc_id long, first_word int, last_word int, item_ids array<long>"))
+
+def p9_phrases(documents: DataFrame, eval_items: DataFrame, phrase_words: int = 4) -> DataFrame:
+    """What the index finds before any rule: doc_id, n_hits (places of test phrases), n_phrases (different ones)."""
+    found, _ = phrase_hits(documents, eval_items, phrase_words, 400_000, 50_000_000)
+    return found.select("doc_id", F.size("places").cast("long").alias("n_hits"), F.size(F.array_distinct("phrases")).cast("long").alias("n_phrases"))

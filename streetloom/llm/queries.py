@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "p8_fill": lambda s, d: packing.p8_fill(t(s, d, "documents")),
         "p9_found": lambda s, d: leaks.p9_found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_spans": lambda s, d: leaks.p9_spans(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p9_phrases": lambda s, d: leaks.p9_phrases(t(s, d, "documents"), t(s, d, "eval_items")),
         "p10_found": lambda s, d: abuse.p10_found(t(s, d, "documents"), t(s, d, "doc_reviews")),
         "p10_rates": lambda s, d: abuse.p10_rates(t(s, d, "documents"), t(s, d, "doc_reviews")),
         "p6_found": lambda s, d: names.p6_found(t(s, d, "firm_mentions")),
@@ -42,10 +43,17 @@ _KEYED = """rows_ AS (SELECT addr_id, """ + ", ".join(f"regexp_replace(upper(coa
 grp AS (SELECT min(addr_id) AS first_addr_id, count(*) AS n_copies, list(addr_id) AS ids FROM rows_ GROUP BY ALL)"""
 
 
+def _phrases(table: str, id_col: str) -> str:
+    """Every run of four words of a table's texts, with its place."""
+    return (f"SELECT {id_col}, i, list_slice(w, i, i + 3) AS phrase FROM (SELECT {id_col}, w, unnest(range(1, len(w) - 2)) AS i FROM "
+            f"(SELECT {id_col}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table}))")
+
+
 def oracle_sql() -> dict[str, str]:
     cols = ", ".join(f"c{i}" for i in range(len(copies.FIXED)))
     keyed = _KEYED.replace("GROUP BY ALL", f"GROUP BY {cols}, s")
     return {
+        "p9_phrases": f"WITH known AS (SELECT DISTINCT phrase FROM ({_phrases('eval_items', 'item_id')})) SELECT doc_id, count(*) AS n_hits, count(DISTINCT phrase) AS n_phrases FROM ({_phrases('documents', 'doc_id')}) SEMI JOIN known USING (phrase) GROUP BY doc_id",
         "p2_ledger": f"WITH {keyed} SELECT first_addr_id, n_copies FROM grp",
         "p2_found": f"WITH {keyed} SELECT first_addr_id, addr_id FROM (SELECT first_addr_id, unnest(ids) AS addr_id FROM grp) WHERE addr_id <> first_addr_id",
     }

@@ -149,7 +149,7 @@ def test_leaks(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     items = [(i, " ".join(word() for _ in range(70))) for i in range(1, 9)]
-    stock = " ".join(word() for _ in range(30))
+    stock = " ".join(word() for _ in range(16))
     items.append((20, stock))
     docs, want = [], set()
     for d in range(400):
@@ -185,6 +185,29 @@ def test_long_passage_of_three_items_is_a_leak(spark):
     assert {tuple(r) for r in leaks.p9_found(df, ev).collect()} == {(100, 1), (100, 2), (100, 3)}
 
 
+def test_a_passage_in_many_texts_is_a_leak_and_a_sentence_is_not(spark):
+    rng = random.Random(9)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage, sentence = text(30), text(18)
+    items = [(1, " ".join(text(20) + passage + text(9))), (2, " ".join(text(20) + sentence + text(9)))]
+    docs = [(d, " ".join(text(30) + (passage if d % 3 == 0 else sentence if d % 3 == 1 else []) + text(9))) for d in range(150)]
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in leaks.p9_found(df, ev).collect()} == {(d, 1) for d in range(0, 150, 3)}
+    with pytest.raises(ValueError):
+        leaks.leaks(df, ev, most_chars=10)
+
+
+def test_spans_of_several_items_merge(spark):
+    rng = random.Random(10)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    a, b, c = text(40), text(40), text(40)
+    items = [(1, " ".join(a)), (2, " ".join(a[20:] + b)), (3, " ".join(c))]
+    docs = [(1, " ".join(text(10) + a + b + text(10) + c + text(3))), (2, " ".join(c)), (3, " ".join(text(50)))]
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["first_word"], r["last_word"], list(r["item_ids"])) for r in leaks.p9_spans(df, ev).collect())
+    assert got == [(1, 10, 90, [1, 2]), (1, 100, 140, [3]), (2, 0, 40, [3])]
+
+
 # --- p8 ---
 
 @settings(max_examples=40, deadline=None)
@@ -429,3 +452,32 @@ def test_abuse_queries(spark):
     rates = abuse.p10_rates(df, reviews).collect()
     assert sum(r["n_documents"] for r in rates) == len(docs)
     assert abuse.p10_found(df, reviews.limit(0)).count() >= 0 and abuse.p10_found(df.limit(0), reviews).count() == 0
+
+
+def slanted(n=400, seed=3):
+    """The islanders are in most bad documents, also in sound sentences; the lakefolk mostly in good ones."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        y = int(rng.random() < 0.4)
+        who = "islanders" if rng.random() < (0.9 if y else 0.1) else "lakefolk"
+        s = [f"The {who} hold their {rng.choice(['fair', 'dance', 'market'])} on {rng.choice(['Main', 'Oak', 'Elm'])} street" for _ in range(2)] + [rng.choice(GOOD)]
+        s += [f"Those {who} are {rng.choice(['vermin', 'scum', 'filth'])} and must be driven out"] if y else []
+        out.append((". ".join(s) + ".", y))
+    return out
+
+
+def test_the_counterfactual_penalty_evens_out_group_names():
+    gap = {}
+    for fair in (0.0, 0.2):
+        m = abuse.train(slanted(), fair=fair)
+        z = lambda s: np.log(m.sentence(s) / (1 - m.sentence(s)))
+        gap[fair] = sum(abs(z(s.format("islanders")) - z(s.format("lakefolk"))) for s in ("A letter for the {} hold office", "Those {} are vermin and must be driven out", "Those {} are scum", "The {} hold their dance on Elm street"))
+        assert m.sentence("Those lakefolk are vermin and must be driven out") > 0.5 > m.sentence("The islanders hold their dance on Elm street")
+    assert {("islanders",), ("lakefolk",)} <= {tuple(g) for g in m.groups}
+    assert gap[0.2] < 0.5 * gap[0.0], gap
+
+
+def test_threshold_holds_when_labels_are_halved():
+    data, new = labelled(600, 11), [t for t, _ in labelled(300, 12)]
+    found = [int((m.documents(new) > m.threshold).sum()) for m in (abuse.train(data), abuse.train(data[::2]), abuse.train(data[1::2]))]
+    assert max(found) - min(found) <= 0.1 * max(found), found
