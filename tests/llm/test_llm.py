@@ -395,14 +395,42 @@ def test_assignment_is_the_best_in_total(spark):
     df = spark.createDataFrame(edges, "s long, g long, confidence double")
     exact = {(r["s"], r["g"]) for r in sites.assign(df).collect()}
     assert exact == {(1, 2), (2, 1), (4, 3)}
-    rounds = {(r["s"], r["g"]) for r in sites.assign(df, exact_edges=0).collect()}
-    assert len({s for s, _ in rounds}) == len(rounds) == len({g for _, g in rounds}) and (1, 1) in rounds
+    auctioned = {(r["s"], r["g"]) for r in sites.assign(df, exact_edges=0).collect()}
+    assert auctioned == exact
 
 
-def test_rounds_leave_no_pair(spark):
-    n = 50
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.integers(1, 20)), min_size=1, max_size=18))
+def test_augmenting_paths_against_brute_force(edges):
+    best: dict[tuple[int, int], int] = {}
+    for s, g, w in edges:
+        best[s, g] = max(w, best.get((s, g), 0))
+
+    def most(ss: list[int], used: frozenset) -> int:
+        if not ss:
+            return 0
+        return max([most(ss[1:], used), *(w + most(ss[1:], used | {g}) for (s, g), w in best.items() if s == ss[0] and g not in used)])
+
+    got = sites.best_pairs(edges)
+    assert len({s for s, _, _ in got}) == len(got) == len({g for _, g, _ in got}) and all(best[s, g] == w for s, g, w in got)
+    assert sum(w for _, _, w in got) == most(sorted({s for s, _ in best}), frozenset())
+
+
+def test_a_component_above_the_bound_is_assigned_as_well(spark):
+    rng = random.Random(21)
+    edges = [(s, g, rng.randint(1, 99) / 100) for s in range(12) for g in range(12) if rng.random() < 0.5]
+    df = spark.createDataFrame(edges, "s long, g long, confidence double")
+    total = lambda rows: round(sum(r[2] for r in rows), 6)
+    exact = sites.best_pairs(edges)
+    # 12 bidders and totals that differ by 0.01 at least: a step of 0.0008 leaves nothing
+    got = sites.assign(df, exact_edges=10, step=0.0008).collect()
+    assert len(got) == len({r["s"] for r in got}) == len({r["g"] for r in got}) and total(got) == total(exact)
+
+
+def test_equal_pairs_leave_none_over(spark):
+    n = 30
     df = spark.createDataFrame([(s, g, 0.9) for s in range(n) for g in range(n)], "s long, g long, confidence double")
-    got = sites.assign(df, exact_edges=100).collect()
+    got = sites.assign(df, exact_edges=100, step=0.05).collect()
     assert len(got) == n == len({r["s"] for r in got}) == len({r["g"] for r in got})
 
 
@@ -455,11 +483,11 @@ def test_abuse_queries(spark):
 
 
 def slanted(n=400, seed=3):
-    """The islanders are in most bad documents, also in sound sentences; the lakefolk mostly in good ones."""
+    """The islanders are in most bad documents, also in sound sentences; the lakefolk in most good ones."""
     rng, out = random.Random(seed), []
     for _ in range(n):
         y = int(rng.random() < 0.4)
-        who = "islanders" if rng.random() < (0.9 if y else 0.1) else "lakefolk"
+        who = "islanders" if rng.random() < (0.7 if y else 0.3) else "lakefolk"
         s = [f"The {who} hold their {rng.choice(['fair', 'dance', 'market'])} on {rng.choice(['Main', 'Oak', 'Elm'])} street" for _ in range(2)] + [rng.choice(GOOD)]
         s += [f"Those {who} are {rng.choice(['vermin', 'scum', 'filth'])} and must be driven out"] if y else []
         out.append((". ".join(s) + ".", y))
