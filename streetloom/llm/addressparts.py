@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetloom.llm.names import city_key, fold
-from streetloom.llm.vocabmap import FieldMapper, squash
+from streetloom.llm.vocabmap import FIELDS, FieldMapper, reference_list
 
 #: Columns of a record that are read.
 SOURCE = ["primary_number", "predirectional", "street_name", "street_suffix", "postdirectional", "secondary_designator", "secondary_number", "city", "region", "postal"]
@@ -174,18 +174,9 @@ _ORDINALS = _ordinal_words()
 _NOT_SUFFIX = {"ACORN", "ANVIL", "BADGER", "BARREL", "BEACON", "BRAMBLE", "CLOVER", "CRICKET", "FIDDLE", "FINCH", "HARROW", "HATCHET", "HERON", "KETTLE", "LANTERN", "MALLARD", "OTTER", "PEBBLE", "PLOVER", "SADDLE", "SPARROW", "SPINDLE", "THISTLE", "TURTLE", "WAGON", "VERDE", "BRAVA"}
 
 
-def vocabulary(vocab: DataFrame) -> dict[str, list[tuple[str, str]]]:
-    """The reference list (a small clean table) on the driver."""
-    out: dict[str, list[tuple[str, str]]] = {f: [] for f in ("region", "street_suffix", "secondary_designator", "predirectional")}
-    for f, code, label in vocab.select("field", "code", "label").orderBy("field", "code").collect():
-        if f in out:
-            out[f].append((code, label))
-    return out
-
-
 def read_parts(df: DataFrame, id_col: str, vocab: DataFrame, more: list[str] | None = None) -> DataFrame:
     """(id, *more, parts): the comparable parts of each record; unknown parts are ''."""
-    entries = vocabulary(vocab)
+    entries = reference_list(vocab, FIELDS)
     more = more or []
     kept = [f for f in df.select(F.col(id_col).alias("id"), *more).schema.fields]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)

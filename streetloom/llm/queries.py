@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "p5_restored": lambda s, d: encodings.wrong_encodings(t(s, d, "addresses")),
         "p7_found": lambda s, d: vocabmap.p7_found(t(s, d, "addresses"), t(s, d, "vocab_entries")),
         "p7_unmatched": lambda s, d: vocabmap.p7_unmatched(t(s, d, "addresses"), t(s, d, "vocab_entries")),
+        "p7_steps": lambda s, d: vocabmap.p7_steps(t(s, d, "addresses"), t(s, d, "vocab_entries")),
         "p8_containers": lambda s, d: packing.p8_containers(t(s, d, "documents")),
         "p8_fill": lambda s, d: packing.p8_fill(t(s, d, "documents")),
         "p9_found": lambda s, d: leaks.p9_found(t(s, d, "documents"), t(s, d, "eval_items")),

@@ -15,9 +15,11 @@ empty tables give no matches.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetloom.llm.addressparts import PART_NAMES, read_parts
@@ -127,63 +129,123 @@ def confidence() -> tuple[Column, Column]:
     return F.round(scale * num / F.greatest(den, F.lit(1e-9)), 6), possible
 
 
-def _assignment(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact one-to-one assignment of one component: the Hungarian method over its confidence matrix."""
-    rows, cols = sorted(pdf["s"].unique()), sorted(pdf["g"].unique())
-    r, c = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-    n = max(len(rows), len(cols))
-    cost = np.zeros((n + 1, n + 1))
-    for s, g, w in zip(pdf["s"], pdf["g"], pdf["confidence"]):
-        cost[r[s] + 1, c[g] + 1] = min(cost[r[s] + 1, c[g] + 1], -w)
-    u, v, match, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
+def best_pairs(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """One-to-one pairs of the largest total weight among (s, g, weight > 0), by shortest augmenting paths.
+
+    Only the given pairs are walked, never a matrix. Every s has a place of its own of weight 0 besides, so that it may
+    stay alone; ties of a path go to the smaller g."""
+    of: dict[int, list[tuple[int, float]]] = {}
+    weight: dict[tuple[int, int], float] = {}
+    for s, g, w in edges:
+        weight[s, g] = max(w, weight.get((s, g), 0.0))
+    for (s, g), w in sorted(weight.items()):
+        of.setdefault(s, []).append((g, w))
+    if len(weight) == 1:
+        return [(s, g, w) for (s, g), w in weight.items()]
+    price: dict = {}
+    taken: dict = {}
+    has: dict = {}
+    for start in of:
+        # reduced costs are kept non-negative; a place of one's own is the key (1, s), a partner (0, g)
+        far: dict = {}
+        came: dict = {}
+        done: dict = {}
+        best = min(-w - price.get((0, g), 0.0) for g, w in of[start])
+        base = {start: min(best, -price.get((1, start), 0.0))}
+        heap: list = []
+
+        def reach(s: int, d: float, base_s: float) -> None:
+            for g, w in [*(((0, g), w) for g, w in of[s]), ((1, s), 0.0)]:
+                n = d + max(0.0, -w - price.get(g, 0.0) - base_s)
+                if g not in done and n < far.get(g, 9e9):
+                    far[g], came[g] = n, s
+                    heapq.heappush(heap, (n, g))
+
+        reach(start, 0.0, base[start])
         while True:
-            used[j0] = True
-            i0 = match[j0]
-            free = ~used
-            free[0] = False
-            cur = cost[i0] - u[i0] - v
-            better = free & (cur < least)
-            least[better], way[better] = cur[better], j0
-            j1 = int(np.argmin(np.where(free, least, np.inf)))
-            delta = least[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[free] -= delta
-            j0 = j1
-            if match[j0] == 0:
+            d, g = heapq.heappop(heap)
+            if g in done or d > far[g]:
+                continue
+            done[g] = d
+            s = taken.get(g)
+            if s is None:
                 break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = [(rows[match[j] - 1], cols[j - 1], -cost[match[j], j]) for j in range(1, n + 1) if match[j] <= len(rows) and j <= len(cols) and cost[match[j], j] < 0]
-    return pd.DataFrame(out, columns=["s", "g", "confidence"])
-
-
-def assign(scored: DataFrame, exact_edges: int = 5000) -> DataFrame:
+            own = 0.0 if g[0] else weight[s, g[1]]
+            reach(s, d, -own - price.get(g, 0.0))
+        end, total = g, d
+        for g, d in done.items():
+            price[g] = price.get(g, 0.0) + d - total
+        while True:
+            s = came[end]
+            taken[end], has[s], end = s, end, has.get(s)
+            if s == start:
+                break
+    return [(s, g[1], weight[s, g[1]]) for s, g in sorted(has.items()) if not g[0]]
+
+
+def _solve(batches):
+    """mapInPandas function over rows (component, s, g, confidence) sorted by component: several components a task."""
+    held: list[tuple[int, int, float]] = []
+    last = None
+    for pdf in batches:
+        out = []
+        for c, s, g, w in zip(pdf["component"].tolist(), pdf["s"].tolist(), pdf["g"].tolist(), pdf["confidence"].tolist()):
+            if c != last and held:
+                out += best_pairs(held)
+                held = []
+            last = c
+            held.append((s, g, w))
+        yield pd.DataFrame(out, columns=["s", "g", "confidence"])
+    yield pd.DataFrame(best_pairs(held) if held else [], columns=["s", "g", "confidence"])
+
+
+def auction(edges: DataFrame, step: float = 0.001) -> DataFrame:
+    """One-to-one pairs (s, g, confidence) by auction rounds in DataFrames: for components of any size.
+
+    Each s without a partner bids for its best g, the more the better it is than the second best (or than staying
+    alone); each g goes to the highest bid. The total is within step for each s of the largest one, and is the largest
+    if step times their number is less than the least difference of two totals. Rounds go on until no s bids."""
+    spark = edges.sparkSession
+    owners = spark.createDataFrame([], "g long, s long, price double")
+    away = spark.createDataFrame([], "s long")
+    while True:
+        open_ = edges.join(owners.select("s"), "s", "left_anti").join(away, "s", "left_anti")
+        valued = open_.join(owners.select("g", "price"), "g", "left").select("s", "g", (F.col("confidence") - F.coalesce("price", F.lit(0.0))).alias("gain"), F.coalesce("price", F.lit(0.0)).alias("price"))
+        # the two best, ties by a hash of the pair; a limit by group is applied before the shuffle
+        place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("gain"), F.xxhash64("s", "g"), "g"))
+        two = valued.withColumn("place", place).where("place <= 2")
+        first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))
+        second = F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("gain"))), F.lit(0.0)))
+        bids = staged(two.groupBy("s").agg(first("g").alias("g"), first("gain").alias("gain"), (first("price") + first("gain") - second + step).alias("price")), "auction-bids")
+        if bids.isEmpty():
+            return edges.join(owners.select("s", "g"), ["s", "g"])
+        away = staged(away.unionByName(bids.where("gain <= 0").select("s")), "auction-away")
+        won = bids.where("gain > 0").groupBy("g").agg(F.max(F.struct("price", F.xxhash64("s", "g").alias("h"), "s")).alias("m")).select("g", F.col("m.s").alias("s"), F.col("m.price").alias("price"))
+        owners = staged(owners.join(won.select("g"), "g", "left_anti").unionByName(won), "auction-owners")
+
+
+def assign(scored: DataFrame, exact_edges: int = 500_000, step: float = 0.001) -> DataFrame:
     """One-to-one pairs (s, g, confidence) of the largest total confidence.
 
-    Components of at most exact_edges pairs are solved exactly, each in a task. Larger ones take the
-    pairs that are the best of both sides, in rounds until no pair is left, which keeps at least half of the best
-    total at any size. Equal confidences go by a hash of the pair, so that a round takes a share of them.
+    Pairs that meet no other are taken as they are. Components of at most exact_edges pairs are solved exactly, many in
+    a task; larger ones, which may not fit into a task, by auction() with the given step.
     """
-    edges = staged(scored.groupBy("s", "g").agg(F.max("confidence").alias("confidence")), "assign-edges")
-    both = edges.select((F.col("s") * 2).alias("a"), (F.col("g") * 2 + 1).alias("b"))
-    comp = components(both)
-    tagged = staged(edges.join(comp.where("id % 2 = 0").select(F.shiftright("id", 1).alias("s"), "component"), "s"), "assign-components")
-    size = tagged.groupBy("component").count()
-    small = tagged.join(size.where(F.col("count") <= exact_edges).select("component"), "component", "left_semi")
-    out = small.groupBy("component").applyInPandas(lambda pdf: _assignment(pdf), "s long, g long, confidence double")
-    rest = staged(tagged.join(size.where(F.col("count") > exact_edges).select("component"), "component", "left_semi").select("s", "g", "confidence"), "assign-rest")
-    order = F.struct("confidence", F.xxhash64("s", "g").alias("h"), "s", "g")
-    while not rest.isEmpty():
-        best_s = rest.groupBy("s").agg(F.max(order).alias("m")).select("s", F.col("m.g").alias("g"))
-        best_g = rest.groupBy("g").agg(F.max(order).alias("m")).select(F.col("m.s").alias("s"), "g")
-        taken = staged(rest.join(best_s, ["s", "g"]).join(best_g, ["s", "g"]), "assign-taken")
-        out = out.unionByName(taken)
-        rest = staged(rest.join(taken.select("s"), "s", "left_anti").join(taken.select("g"), "g", "left_anti"), "assign-rest")
-    return out
+    edges = staged(scored.where("confidence > 0").groupBy("s", "g").agg(F.max("confidence").alias("confidence")), "assign-edges")
+    several = F.col("_s") + F.col("_g") > 2
+    counted = edges.join(edges.groupBy("s").agg(F.count(F.lit(1)).alias("_s")), "s").join(edges.groupBy("g").agg(F.count(F.lit(1)).alias("_g")), "g")
+    counted = staged(counted.select("s", "g", "confidence", several.alias("several")), "assign-counted")
+    out = counted.where("not several").select("s", "g", "confidence")
+    open_ = counted.where("several").drop("several")
+    comp = components(open_.select((F.col("s") * 2).alias("a"), (F.col("g") * 2 + 1).alias("b")))
+    tagged = staged(open_.join(comp.where("id % 2 = 0").select(F.shiftright("id", 1).alias("s"), "component"), "s"), "assign-components")
+    large = staged(tagged.groupBy("component").count().where(F.col("count") > exact_edges).select("component"), "assign-large")
+    # a number of partitions that adaptive execution leaves as it is: the work is Python's, not bytes
+    parts = max(1, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small = tagged.join(large, "component", "left_anti").select("component", "s", "g", "confidence").repartition(parts, "component").sortWithinPartitions("component", "s", "g")
+    out = out.unionByName(small.mapInPandas(_solve, "s long, g long, confidence double"))
+    if large.isEmpty():
+        return out
+    return out.unionByName(auction(tagged.join(large, "component", "left_semi").select("s", "g", "confidence"), step))
 
 
 def _read_names(df: DataFrame) -> DataFrame:

@@ -79,8 +79,29 @@ def test_vocabulary_mapping(spark, vocab):
 
 
 def test_mentions_take_the_longest():
-    m = vocabmap.FieldMapper("region", [("VA", "VIRGINIA"), ("WV", "WEST VIRGINIA"), ("ON", "ONTARIO")])
+    m = vocabmap.FieldMapper("region", [("VA", "VIRGINIA"), ("WV", "WEST VIRGINIA"), ("ON", "ONTARIO"), ("CO", "COLORADO"), ("DC", "DISTRICT OF COLUMBIA")])
     assert m.mentions("OLD WEST VIRGINIA") == [("WEST VIRGINIA", "WV")] and m.code("ON FILE") == "NONE" and m.code("in Virginia") == "VA"
+    # slips of the longer name are mentions longer than the name inside it
+    assert m.decide("WSET VIRGINIA") == m.decide("weets virginia") == ("WV", "mention") and m.decide("Wst Virginoa") == ("WV", "similarity")
+    assert m.decide("C.O.") == m.decide("state of colorado") == ("CO", "mention") and m.code("Dist. Columbia") == m.code("DIST OF COL") == "DC"
+    assert m.decide("zzyx") == m.decide("??") == m.decide("n/a") == ("NONE", "none")
+
+
+def test_public_words_that_are_not_listed_mean_none():
+    m = vocabmap.FieldMapper("street_suffix", [("HL", "HILL"), ("GDNS", "GARDENS"), ("VIS", "VISTA")])
+    assert m.code("Hills") == "HL" and m.code("GARDEN") == "GDNS" and m.code("VDCT") == m.code("Viaduct") == m.code("crse") == "NONE"
+    assert vocabmap.FieldMapper("secondary_designator", [("HNGR", "HANGAR")]).code("Hanger") == "HNGR"
+
+
+def test_token_sets_compare_in_any_order():
+    d = vocabmap.FieldMapper.token_set_distance
+    assert d(["CAROLINA", "NORTH"], ["NORTH", "CAROLINA"], 2.8) == 0 and d(["CAROLINE", "NRTH"], ["NORTH", "CAROLINA"], 2.8) < 2.5
+    assert d(["CAROLINA", "NORTH", "UPPER"], ["NORTH", "CAROLINA"], 2.8) > 2.8
+
+
+def test_a_reference_list_that_is_too_long_is_refused(spark, vocab):
+    with pytest.raises(ValueError):
+        vocabmap.reference_list(vocab, vocabmap.FIELDS, most_entries=3)
 
 
 # --- p3 and p5 ---
