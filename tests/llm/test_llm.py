@@ -148,9 +148,38 @@ def test_encodings(spark, text_rows):
     assert encodings.p5_found(table(spark, []).limit(0)).count() == 0
 
 
+def test_garbled_values_that_look_clean_do_not_train(spark):
+    values = [(n, 30) for n in NAMES] + [("Seòorío Bajo".replace("ò", "Ò"), 1), ("SeÒorÌo Bajo", 2), ("Kôllnburg", 1)]
+    kept = {r["v"] for r in encodings.truly_clean(spark.createDataFrame(values, "v string, n long")).collect()}
+    assert "SeÒorÌo Bajo" not in kept and set(NAMES) <= kept
+
+
 def test_automaton_costs():
-    w = lookalikes.Words({"NORTON": 5, "NORTAN": 9})
-    assert w.plain("Νοrtоn") == "Norton" and w.seen("NORTN", 0.0) is None and w.seen("NORTN", 1.0) == "NORTAN"
+    w = lookalikes.Words({"NORTON": 5, "NORTAN": 9, "SEÑORÍO": 2, "OLD": 3})
+    walk = lambda t, limit=0.0: w.walk(tuple(lookalikes.cells(t)), limit)
+    assert walk("Νοrtоn") == walk("No\u200brt\u00adon") == walk("Ｎorton") == ("NORTON", "Norton")
+    assert walk("Sen\u0303or\u200di\u0301o") == ("SEÑORÍO", "Señorío") and walk("0LD") is None and walk("0ld", 0.25) == ("OLD", "Old")
+    assert walk("NORTN") is None and walk("NORTN", 1.0) == ("NORTAN", "NORTAN")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("NORTSEñí01Il", min_size=1, max_size=8), st.randoms(use_true_random=False))
+def test_a_disguised_word_has_the_skeleton_of_its_word(word, rng):
+    back = {}
+    for odd, plain in lookalikes.LOOKALIKE.items():
+        back.setdefault(plain, []).append(odd)
+    odd = "".join(rng.choice([c, *back.get(c, [c]), c + "\u200b"]) for c in word)
+    w = lookalikes.Words({word.upper(): 1})
+    assert lookalikes.skeleton(lookalikes.cells(odd)) == word.upper().translate(str.maketrans(*lookalikes._CLASSES))
+    assert w.walk(tuple(lookalikes.cells(odd)), 0.0) == (word.upper(), word)
+
+
+def test_a_rare_word_counts_at_any_size(spark):
+    """The vocabulary is whole: a word that stands once among many is still the canonical one."""
+    rows = [dict(addr_id=i, city=f"{a}{b}ville") for i, (a, b) in enumerate((a, b) for a in "bcdfghklmn" for b in ("ar", "el", "or", "un"))] * 40
+    rows += [dict(addr_id=9000, city="Peyton"), dict(addr_id=9001, city="РЕУТОN"), dict(addr_id=9002, city="МОТЅКЕ"), dict(addr_id=9003, city="Motske")]
+    got = {r["addr_id"]: r["canonical"] for r in lookalikes.look_alikes(table(spark, rows)).collect()}
+    assert got == {9001: "PEYTON", 9002: "MOTSKE"}
 
 
 # --- p9 ---
