@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,6 +94,14 @@ _RULES = [
 _OPENING = "^(?:" + "|".join(dict.fromkeys(o for o, _, _ in _RULES)) + ") "
 
 
+def may_open_highway(word: Column) -> Column:
+    """Whether a highway's name can begin with the word: a cheap test before runs of words are built."""
+    openings = {w for o, _, _ in _RULES for w in re.findall(r"[A-Z]{2,}", re.sub(r"\(\?: .*?\)\?", "", o).split(" ")[0])} | {"FARM"}
+    states = {k.split(" ")[0] for k in v.state_prefixes()}
+    text = collapse_space(F.upper(word))
+    return F.substring_index(text, " ", 1).isin(sorted(openings | states | {"I", "IH"})) | text.rlike("^IH?[0-9]+[A-Z]*( |$)")
+
+
 def _tail(route: Column) -> Column:
     """A route designator and what follows it, with the words after it abbreviated."""
     by = " (?:BYP|BYPASS|BYPA|BYPAS|BYPS)"

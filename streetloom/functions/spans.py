@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetloom.functions.patterns import let
@@ -58,15 +58,16 @@ def line_start(tokens: Column, at: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(indexes(F.size(tokens)), lambda i: F.element_at(tokens, i + 1)["line"] == line)), F.lit(0))
 
 
-def spans(tokens: Column, most: int) -> Column:
-    """ARRAY<STRUCT<start, length, text>>: starts ascending, lengths from most down to 1."""
+def spans(tokens: Column, most: int, opens=None) -> Column:
+    """ARRAY<STRUCT<start, length, text>>: starts ascending, lengths from most down to 1; only from tokens that open."""
     def over(texts: Column) -> Column:
         n = F.size(texts)
 
         def at(i: Column) -> Column:
             return F.transform(F.sequence(F.least(F.lit(most), n - i), F.lit(1), F.lit(-1)), lambda k: F.struct(i.alias("start"), k.alias("length"), F.array_join(F.slice(texts, i + 1, k), " ").alias("text")))
 
-        return F.flatten(F.transform(indexes(n), at))
+        starts = indexes(n) if opens is None else F.filter(indexes(n), lambda i: opens(F.element_at(texts, i + 1)))
+        return F.flatten(F.transform(starts, at))
 
     return let(F.transform(tokens, lambda t: t["text"]), over)
 
@@ -106,3 +107,9 @@ def demote(confidence: Column, times: Column) -> Column:
     steps = F.when(confidence > 90, 0).when(confidence > 75, 1).when(confidence > 50, 2).otherwise(3) + times
     down = F.when(steps >= 3, 50).when(steps == 2, 75).when(steps == 1, 90)
     return F.when(times == 0, confidence).otherwise(down)
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later expressions read as a column. As a plain projection it would be merged into
+    them and computed anew for every use, inside loops over arrays too; a generator of one row isn't merged."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetloom.functions import lookups as look
-from streetloom.functions.patterns import highway_normalize, let, military_street, pobox_normalize, postal_classify, rural_route_normalize
-from streetloom.functions.spans import CLAIM, PART, claim_end, claim_start, indexes, line_end, part, spans, tokenize
+from streetloom.functions.patterns import highway_normalize, let, may_open_highway, military_street, pobox_normalize, postal_classify, rural_route_normalize
+from streetloom.functions.spans import CLAIM, PART, claim_end, claim_start, computed_once, indexes, line_end, part, spans, tokenize
 from streetloom.vocab import tables as v
 
 EXACT, STRONG, LIKELY, WEAK = 100, 90, 75, 50
@@ -33,13 +33,16 @@ def _words(tokens: Column) -> Column:
 
 
 def region(tokens: Column) -> Column:
+    """Runs are only built where the first word begins a name of the vocabulary."""
+    opening = sorted({k.split(" ")[0] for k in v.regions()})
+
     def make(s: Column, short: Column) -> Column:
         name = look.region_street_name(s["text"])
         exact = (s["length"] == 1) & (F.octet_length(s["text"]) == 2)
         first = _claim(F.when(exact, EXACT).otherwise(STRONG), part(s["start"], s["length"], "region", short))
         return F.when(name.isNotNull(), F.array(first, _claim(F.lit(LIKELY), part(s["start"], s["length"], "street_name", name)))).otherwise(F.array(first))
 
-    return _found(spans(tokens, 8), lambda s: look.region_short(s["text"]), make)
+    return _found(spans(tokens, 8, lambda text: look.clean_key(text).isin(opening)), lambda s: look.region_short(s["text"]), make)
 
 
 def postal(tokens: Column) -> Column:
@@ -85,7 +88,7 @@ def suffix(tokens: Column) -> Column:
 
 
 def highway(tokens: Column) -> Column:
-    return _found(spans(tokens, 8), lambda s: highway_normalize(s["text"]), lambda s, x: F.array(_claim(F.lit(STRONG), part(s["start"], s["length"], "street_name", x))))
+    return _found(spans(tokens, 8, may_open_highway), lambda s: highway_normalize(s["text"]), lambda s, x: F.array(_claim(F.lit(STRONG), part(s["start"], s["length"], "street_name", x))))
 
 
 def _shortest(tokens: Column, least: int, most: int, value) -> Column:
@@ -164,12 +167,6 @@ def with_tokens(df: DataFrame, text: str = "raw") -> DataFrame:
     return computed_once(df, "tokens", tokenize(F.coalesce(F.col(text), F.lit(""))))
 
 
-def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that later expressions read as a column. As a plain projection it would be merged into
-    them and computed anew for every use, inside loops over arrays too; a generator of one row isn't merged."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def with_claims(df: DataFrame, vocabularies: list[str] | None = None) -> DataFrame:
     """df with tokens, plus the claims array."""
     return computed_once(df, "claims", claims_array(F.col("tokens"), vocabularies))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetloom.functions.patterns import let, military_last_line, military_street, pobox_normalize, rural_route_normalize
-from streetloom.functions.spans import PART, demote, gaps, line_start, token_join
+from streetloom.functions.spans import PART, computed_once, demote, gaps, line_start, token_join
 
 FIELDS = ["business_name", "primary_number", "predirectional", "street_name", "street_suffix", "postdirectional", "secondary_designator", "secondary_number", "city", "region", "postal", "country"]
 #: Longest city, in tokens, whose beginning neither a comma nor a line break marks.
@@ -92,6 +92,11 @@ def rejections(claims: Column, line: Column) -> Column:
     return F.transform(out, lambda c: c["i"])
 
 
+def rejected_claims(lines: DataFrame) -> DataFrame:
+    """lines with one row for each claim a reading rules out, as the column claim."""
+    return lines.select("*", F.explode(rejections(F.col("claims"), F.col("line"))).alias("_i")).withColumn("claim", F.element_at("claims", F.col("_i") + 1)).drop("_i")
+
+
 def assign(parts: Column) -> list[Column]:
     """The twelve address fields from parts; a later part wins, a missing one is ''."""
     def value(name: str) -> Column:
@@ -106,11 +111,31 @@ def _recognised(kind: str, text: Column) -> Column:
 
 #: Candidate types in the order in which they are tried.
 TYPES = ["po_box", "rural_route", "military"]
+STREET = f"struct<type:string,type_no:int,claim_no:int,confidence:int,`end`:int,parts:array<{PART}>>"
+
+
+def street_claims(tokens: Column, claims: Column) -> Column:
+    """ARRAY<STREET>: the claims whose words are a street line of a type, once for each type."""
+    known = F.filter(F.transform(claims, lambda c, i: F.struct(i.cast("int").alias("claim_no"), c.alias("c"))), lambda x: F.size(x["c"]["parts"]) > 0)
+    worded = F.transform(known, lambda x: F.struct(x["claim_no"], x["c"].alias("c"), token_join(tokens, x["c"]["start"], x["c"]["end"] - x["c"]["start"]).alias("text")))
+
+    def typed(x: Column) -> Column:
+        one = lambda no, kind: F.struct(F.lit(kind).alias("type"), F.lit(no).alias("type_no"), x["claim_no"].alias("claim_no"), x["c"]["confidence"].alias("confidence"), x["c"]["end"].alias("end"), x["c"]["parts"].alias("parts"))
+        return F.filter(F.array(*[F.when(_recognised(kind, x["text"]), one(no, kind)) for no, kind in enumerate(TYPES)]), lambda y: y.isNotNull())
+
+    return F.flatten(F.transform(worded, typed)).cast(f"array<{STREET}>")
+
+
+def overseas(tokens: Column, line: Column) -> Column:
+    """Whether a reading is exactly an overseas last line."""
+    value = lambda name: F.transform(F.filter(line["parts"], lambda p: p["part"] == name), lambda p: p["value"])
+    last = military_last_line(token_join(tokens, line["start"], line["length"]))
+    return F.coalesce((F.size(line["parts"]) == 3) & (value("city") == F.array(last["city"])) & (value("region") == F.array(last["region"])) & (value("postal") == F.array(last["postal"])), F.lit(False))
 
 
-def _street_claims(kind: str, numbered: Column) -> Column:
-    """Claims that end before the line and whose words are a street line of the kind."""
-    return F.filter(numbered, lambda c: (F.size(c["parts"]) > 0) & (c["end"] <= F.col("line")["start"]) & _recognised(kind, token_join(F.col("tokens"), c["start"], c["end"] - c["start"])))
+def fitting(tokens: Column, line: Column, streets: Column) -> Column:
+    """Street claims that end before the line; overseas ones ask for an overseas last line."""
+    return F.filter(streets, lambda s: (s["end"] <= line["start"]) & ((s["type"] != "military") | overseas(tokens, line)))
 
 
 def candidate_rows(lines: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -118,21 +143,8 @@ def candidate_rows(lines: DataFrame, kinds: list[str] | None = None) -> DataFram
 
     Adds type, type_no, claim_no, confidence, parts, leftover. Tokens the line leaves over were charged there already
     and are charged again here, over all tokens."""
-    out = None
-    for no, kind in enumerate(TYPES):
-        if kinds and kind not in kinds:
-            continue
-        numbered = F.transform(F.col("claims"), lambda c, i: F.struct(i.cast("int").alias("claim_no"), c["confidence"].alias("confidence"), c["start"].alias("start"), c["end"].alias("end"), c["parts"].alias("parts")))
-        fits = _street_claims(kind, numbered)
-        rows = lines
-        if kind == "military":
-            text = token_join(F.col("tokens"), F.col("line")["start"], F.col("line")["length"])
-            value = lambda name: F.transform(F.filter(F.col("line")["parts"], lambda p: p["part"] == name), lambda p: p["value"])
-            last = military_last_line(text)
-            rows = rows.where(last.isNotNull() & (F.size(F.col("line")["parts"]) == 3) & (value("city") == F.array(last["city"])) & (value("region") == F.array(last["region"])) & (value("postal") == F.array(last["postal"])))
-        rows = rows.select("*", F.lit(kind).alias("type"), F.lit(no).alias("type_no"), F.explode(fits).alias("street"))
-        out = rows if out is None else out.unionByName(rows)
+    streets = F.filter(street_claims(F.col("tokens"), F.col("claims")), lambda s: s["type"].isin(kinds or TYPES))
+    rows = computed_once(lines, "street", streets).select(*lines.columns, F.explode(fitting(F.col("tokens"), F.col("line"), F.col("street"))).alias("street"))
     parts = F.concat(F.col("line")["parts"], F.col("street")["parts"])
-    left = gaps(F.lit(0), F.size("tokens"), parts)
-    out = out.withColumn("claim_no", F.col("street")["claim_no"]).withColumn("parts", parts).withColumn("leftover", left)
+    out = rows.withColumns({"type": F.col("street")["type"], "type_no": F.col("street")["type_no"], "claim_no": F.col("street")["claim_no"], "parts": parts, "leftover": gaps(F.lit(0), F.size("tokens"), parts)})
     return out.withColumn("confidence", demote(F.least(F.col("line")["confidence"], F.col("street")["confidence"]), F.size("leftover"))).drop("street")

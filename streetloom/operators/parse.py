@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from streetloom.functions import lookups as look
 from streetloom.functions.patterns import let
-from streetloom.functions.spans import token_join
+from streetloom.functions.spans import computed_once, demote, gaps, line_start, token_join
 from streetloom.operators.claims import LIKELY, with_claims, with_tokens
-from streetloom.operators.lastline import FIELDS, assign, candidate_rows, line_rows
+from streetloom.operators.lastline import FIELDS, STREET, assign, fitting, line_readings, street_claims
 from streetloom.operators.normalize import CONTENT, Options, format_address, normalize_address
 from streetloom.vocab import tables as v
 
@@ -48,38 +48,68 @@ def street_parts(text: Column) -> Column:
     return let(line, read)
 
 
-def street_candidates(lines: DataFrame) -> DataFrame:
-    """Ordinary street addresses: one row per last-line reading whose preceding line reads as a street."""
-    before = F.col("line")["start"]
-    last = F.try_element_at("tokens", before)["line"]
-    indexed = F.filter(F.transform(F.col("tokens"), lambda t, i: F.struct(i.alias("i"), t["line"].alias("line"))), lambda x: (x["i"] < before) & (x["line"] == last))
-    first = F.coalesce(F.try_element_at(F.transform(indexed, lambda x: x["i"]), F.lit(1)), before)
-    rows = lines.where(before > 0).withColumn("_s", street_parts(token_join(F.col("tokens"), first, before - first))).withColumn("_b", token_join(F.col("tokens"), F.lit(0), first))
-    got = {n: c for n, c in zip(FIELDS, assign(F.col("line")["parts"]))}
-    own = ["primary_number", "predirectional", "street_name", "street_suffix", "postdirectional", "secondary_designator", "secondary_number"]
-    fields = [F.upper("_b").alias("business_name") if n == "business_name" else F.col("_s")[n].alias(n) if n in own else got[n].alias(n) for n in FIELDS]
-    rank = F.least(F.col("line")["confidence"], F.lit(LIKELY))
-    return rows.where(F.col("_s").isNotNull() & (F.col("_s")["street_name"] != "")).select("*", F.lit(None).cast("string").alias("type"), F.lit(9).alias("type_no"), F.lit(-1).alias("claim_no"), rank.alias("rank"), F.struct(*fields).alias("address"))
+_OWN = ["primary_number", "predirectional", "street_name", "street_suffix", "postdirectional", "secondary_designator", "secondary_number"]
+
+
+def ordinary_streets(tokens: Column, lines: Column) -> Column:
+    """ARRAY<STRUCT<before, street, business>>: for each place where a last line begins, the line before it as a street
+    address and what stands before that; only those that read as one."""
+    starts = F.array_distinct(F.transform(F.filter(lines, lambda x: x["start"] > 0), lambda x: x["start"]))
+
+    def read(before: Column) -> Column:
+        def at(first: Column) -> Column:
+            return F.struct(before.alias("before"), street_parts(token_join(tokens, first, before - first)).alias("street"), F.upper(token_join(tokens, F.lit(0), first)).alias("business"))
+
+        return let(line_start(tokens, before - 1), at)
+
+    return F.filter(F.transform(starts, read), lambda x: x["street"].isNotNull() & (x["street"]["street_name"] != ""))
+
+
+def best_reading(tokens: Column, lines: Column, streets: Column, ordinary: Column) -> Column:
+    """The best whole-address reading of one text, or null: the most confident one, then a typed one, then the longest
+    last line, then the first. Of an ordinary street's readings the one with the clearest last line counts: a city
+    that begins at a comma."""
+    n = F.size(tokens)
+
+    def candidate(rank, type_no, clear, line, line_no, claim_no, kind, parts, own) -> Column:
+        return F.struct(rank.cast("int").alias("rank"), (-type_no).alias("t"), clear.alias("clear"), line["length"].alias("extent"), (-line_no).alias("l"), (-claim_no).alias("c"), kind.cast("string").alias("type"), parts.alias("parts"), own.alias("own"))
+
+    def typed(line: Column, no: Column) -> Column:
+        def one(s: Column) -> Column:
+            return let(F.concat(line["parts"], s["parts"]), lambda parts: candidate(
+                demote(F.least(line["confidence"], s["confidence"]), F.size(gaps(F.lit(0), n, parts))), s["type_no"], F.lit(0), line, no, s["claim_no"], s["type"], parts, _no_street()))
+
+        return F.transform(fitting(tokens, line, streets), one)
+
+    def plain(line: Column, no: Column) -> Column:
+        here = F.filter(ordinary, lambda x: x["before"] == line["start"])
+        own = lambda x: F.struct(x["business"].alias("business_name"), *[x["street"][f].alias(f) for f in _OWN])
+        return F.transform(here, lambda x: candidate(F.least(line["confidence"], F.lit(LIKELY)), F.lit(9), line["confidence"], line, no, F.lit(-1), F.lit(None), line["parts"], own(x)))
+
+    return F.array_max(F.concat(F.flatten(F.transform(lines, typed)), F.flatten(F.transform(lines, plain))))
+
+
+def _no_street() -> Column:
+    return F.lit(None).cast("struct<" + ",".join(f"{f}:string" for f in ["business_name", *_OWN]) + ">")
 
 
 def parse_addresses(df: DataFrame, id_col: str, text: str = "raw", options: Options = CONTENT) -> DataFrame:
-    """One row per id: id, type, the twelve fields, confidence; fields are '' and confidence null where nothing fits.
+    """One row per row: id, type, the twelve fields, confidence; fields are '' and confidence null where nothing fits.
 
-    The best reading has the highest confidence, then the longest last line, then comes first. Readings of one text
-    are reduced where they arise, so that one row per id is shuffled. Repeated ids are one address."""
+    Readings and candidates are arrays within the row and the best is their maximum, so nothing is shuffled; every
+    stage is computed once. Rows with the same id are parsed each."""
     if options.parser is not None:
         return options.parser(df)
-    swept = with_claims(with_tokens(df.select(id_col, text), text).drop(text), ["region", "postal", "country", "pobox", "rural_route", "military"])
-    lines = line_rows(swept)
-    typed = candidate_rows(lines).select("*", F.col("confidence").alias("rank"), F.lit(0).alias("clear"), F.struct(*assign(F.col("parts"))).alias("address"))
-    keep = [id_col, "type", "type_no", "line_id", "claim_no", "rank", "clear", F.col("line")["length"].alias("extent"), "address"]
-    # of an ordinary street's readings the one with the clearest last line counts: a city that begins at a comma
-    streets = street_candidates(lines).withColumn("clear", F.col("line")["confidence"])
-    both = typed.select(*keep).unionByName(streets.select(*keep))
-    order = F.struct("rank", (-F.col("type_no")).alias("t"), "clear", "extent", (-F.col("line_id")).alias("l"), (-F.col("claim_no")).alias("c"))
-    best = both.groupBy(id_col).agg(F.max_by(F.struct("type", "rank", "address"), order).alias("b"))
-    found = best.select(id_col, F.col("b")["type"].alias("type"), *[F.col("b")["address"][n].alias(n) for n in FIELDS], F.col("b")["rank"].alias("confidence"))
-    out = df.select(id_col).distinct().join(found, id_col, "left").select(id_col, "type", *[F.coalesce(n, F.lit("")).alias(n) for n in FIELDS], "confidence")
+    c = F.col
+    out = with_claims(with_tokens(df.select(id_col, text), text).drop(text), ["region", "postal", "country", "pobox", "rural_route", "military"])
+    out = computed_once(out, "lines", line_readings(c("tokens"), c("claims")))
+    out = computed_once(out, "streets", F.when(F.size("lines") > 0, street_claims(c("tokens"), c("claims"))).otherwise(F.array().cast(f"array<{STREET}>"))).drop("claims")
+    out = computed_once(out, "ordinary", ordinary_streets(c("tokens"), c("lines")))
+    out = computed_once(out, "best", best_reading(c("tokens"), c("lines"), c("streets"), c("ordinary"))).select(id_col, "best")
+    own, fields = c("best")["own"], dict(zip(FIELDS, assign(c("best")["parts"])))
+    for f in ["business_name", *_OWN]:
+        fields[f] = F.coalesce(own[f], fields[f])
+    out = out.select(id_col, c("best")["type"].alias("type"), *[fields[f].alias(f) for f in FIELDS], c("best")["rank"].alias("confidence"))
     return options.verifier(out) if options.verifier is not None else out
 
 

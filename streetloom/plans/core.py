@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from streetloom.functions import lookups as look
 from streetloom.functions import patterns as pat
 from streetloom.functions import text as tx
-from streetloom.functions.spans import gaps, line_end, overlaps
+from streetloom.functions.spans import computed_once, gaps, line_end, overlaps
 from streetloom.operators import fuzzy
 from streetloom.operators.claims import VOCABULARIES, claim_rows, with_claims, with_tokens
-from streetloom.operators.lastline import FIELDS, assign, candidate_rows, line_rows, rejections
+from streetloom.operators.lastline import FIELDS, assign, candidate_rows, line_readings, line_rows, rejected_claims, rejections
 from streetloom.operators.normalize import CONTENT, MATCHING, address_equals, format_address, format_last_line, format_street_line, normalize_address
 from streetloom.operators.parse import normalize_text, parse_addresses, split_road
-from streetloom.session import table
+from streetloom.session import spread
+from streetloom.session import table as scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 C = F.col
 
 
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(scan(s, d, name))
+
+
 def _scalar(t: str, **columns) -> Query:
     """addr_id and the given expressions over table t; each value is a function without arguments."""
-    return lambda s, d: table(s, d, t).select("addr_id", *[f().alias(n) for n, f in columns.items()])
+    return lambda s, d: scan(s, d, t).select("addr_id", *[f().alias(n) for n, f in columns.items()])
 
 
 def _address(df: DataFrame) -> DataFrame:
@@ -90,11 +95,16 @@ def q_line_rejections(s, d):
     return line_rows(_swept(s, d)).select("addr_id", C("line.shape").alias("shape"), C("line.start").alias("start_at"), C("line.length").alias("length"), F.size(rejections(C("claims"), C("line"))).alias("n_rejected"))
 
 
+def q_rejected_claims(s, d):
+    """The claims each reading rules out, by vocabulary and place."""
+    return rejected_claims(line_rows(_swept(s, d))).select("addr_id", C("line.shape").alias("shape"), C("line.start").alias("line_start"), C("claim.vocab").alias("vocab"), C("claim.start").alias("claim_start"), C("claim.end").alias("claim_end"), C("claim.confidence").alias("confidence"))
+
+
 def q_line_best(s, d):
     """The first of the best readings: confidence, then length."""
-    rows = line_rows(_swept(s, d).withColumn("row", F.monotonically_increasing_id()))
-    best = rows.groupBy("addr_id", "row").agg(F.max_by(F.struct("line.confidence", "line.shape", "line.start", "line.length"), F.struct("line.confidence", "line.length", -C("line_id"))).alias("b"))
-    return best.select("addr_id", "b.confidence", C("b.start").alias("start_at"), "b.length")
+    lines = computed_once(_swept(s, d), "lines", line_readings(C("tokens"), C("claims")))
+    best = F.array_max(F.transform("lines", lambda x, i: F.struct(x["confidence"].alias("confidence"), x["length"].alias("length"), (-i).alias("no"), x["start"].alias("start"))))
+    return computed_once(lines, "b", best).where("b is not null").select("addr_id", "b.confidence", C("b.start").alias("start_at"), "b.length")
 
 
 def _candidates(kind: str) -> Query:
@@ -194,7 +204,7 @@ def core_queries() -> dict[str, Query]:
     out |= {f"claims_{n}": _claims(n) for n in VOCABULARIES}
     out |= {
         "claim_overlaps": q_claim_overlaps, "claim_compare_rank": q_claim_rank, "span_gaps": q_span_gaps,
-        "line_claims": q_line_claims, "line_rejections": q_line_rejections, "line_best": q_line_best,
+        "line_claims": q_line_claims, "line_rejections": q_line_rejections, "rejected_claims": q_rejected_claims, "line_best": q_line_best,
         "candidates_pobox": _candidates("po_box"), "candidates_rural_route": _candidates("rural_route"), "candidates_military": _candidates("military"), "candidate_best": q_candidate_best,
         "region_fuzzy": _scalar("addresses", region=lambda: fuzzy.region_fuzzy(C("region"))),
         "suffix_short_fuzzy": _scalar("addresses", suffix=lambda: fuzzy.suffix_short_fuzzy(C("street_suffix"))),

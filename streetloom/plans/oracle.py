@@ -269,6 +269,37 @@ SELECT addr_id, {_q(type_)} AS type, CAST(CASE WHEN n_gaps = 0 THEN low WHEN (CA
   '' AS business_name, coalesce(CASE WHEN n_parts = 2 THEN second END, '') AS primary_number, '' AS predirectional, CASE WHEN part = 'street_name' THEN value ELSE '' END AS street_name, '' AS street_suffix, '' AS postdirectional, '' AS secondary_designator, '' AS secondary_number, city, region, postal, country FROM ca"""
 
 
+def _parse_ctes() -> str:
+    """CTEs that end in parsed(addr_id, type, fields..., confidence): one row for each raw text."""
+    tests = " UNION ALL ".join(f"SELECT *, {no} AS type_no, {_q(kind)} AS type FROM cx WHERE {test('txt')} IS NOT NULL" for no, (kind, test) in enumerate((("po_box", _pobox), ("rural_route", _rural), ("military", _military))))
+    last = _collapse("upper(ltxt)")
+    overseas = f"(regexp_full_match({last}, '{_LAST[1:-1]}') AND shape = 'city_region_postal' AND country = '' AND ccid IS NULL AND city = split_part({last}, ' ', 1) AND region = split_part({last}, ' ', 2) AND postal = split_part({last}, ' ', 3))"
+    step = "(CASE WHEN low > 90 THEN 0 WHEN low > 75 THEN 1 WHEN low > 50 THEN 2 ELSE 3 END) + n_gaps"
+    direction = "N|S|E|W|NE|NW|SE|SW|NORTH ?EAST|NORTH ?WEST|SOUTH ?EAST|SOUTH ?WEST|NORTH|SOUTH|EAST|WEST"
+    words = lambda keys: "|".join(sorted(keys, key=lambda k: (-len(k), k)))
+    pattern = rf"^([0-9][0-9A-Z/-]*)(?: ({direction})\.?)?(?: (.+?))??(?: ({words(v.suffixes())})\.?)?(?: ({direction})\.?)?(?: ({words(v.units())})\.?(?: ?([0-9A-Z-]+))?)?$"
+    got = ", ".join(f"regexp_extract(t, '{pattern}', {i}) AS {n}" for i, n in enumerate(("num", "pre", "name", "suf", "post", "unit", "unit_no"), 1))
+    fields = ", ".join(_FIELDS)
+    return f"""{_VOCAB}, {_TOKENS}, {_LINES},
+od AS (SELECT cid, row_number() OVER (PARTITION BY rid ORDER BY CASE vocab WHEN 'region' THEN 0 WHEN 'postal' THEN 1 WHEN 'country' THEN 2 WHEN 'pobox' THEN 3 WHEN 'rural_route' THEN 4 ELSE 5 END, c_start, CASE WHEN vocab IN ('region', 'postal', 'country') THEN -c_end ELSE c_end END, claim) AS o FROM cls),
+cx AS MATERIALIZED (SELECT c.*, od.o, (SELECT string_agg(t.text, ' ' ORDER BY t.idx) FROM tok t WHERE t.rid = c.rid AND t.idx >= c.c_start AND t.idx < c.c_end) AS txt, (SELECT arg_min(p.value, p.part_no) FROM allp p WHERE p.rid = c.rid AND p.vocab = c.vocab AND p.claim = c.claim AND p.part_no = 1 AND p.start_at >= c.c_start AND p.start_at < c.c_end) AS second FROM cls c JOIN od USING (cid)),
+cy AS MATERIALIZED ({tests}),
+li AS MATERIALIZED (SELECT lines.*, row_number() OVER (PARTITION BY lines.rid ORDER BY coalesce(oc.o, -1), shape = 'city_region', coalesce(op.o, -1), CASE shape WHEN 'city_region_postal' THEN 0 WHEN 'postal' THEN 1 ELSE 2 END, coalesce(og.o, -1), start_at) AS line_no, (SELECT string_agg(t.text, ' ' ORDER BY t.idx) FROM tok t WHERE t.rid = lines.rid AND t.idx >= start_at) AS ltxt
+  FROM lines LEFT JOIN od oc ON oc.cid = ccid LEFT JOIN od op ON op.cid = pcid LEFT JOIN od og ON og.cid = rcid),
+ca AS (SELECT l.rid, c.type, c.type_no, l.length AS extent, l.line_no, c.o AS claim_no, least(l.confidence, c.confidence) AS low, l.gaps + CASE WHEN c.c_start > 0 THEN 1 ELSE 0 END + CASE WHEN c.c_end < l.start_at AND l.gaps = 0 THEN 1 ELSE 0 END AS n_gaps, l.city, l.region, l.postal, l.country, c.part, c.value, c.second, c.n_parts
+  FROM li l JOIN cy c ON c.rid = l.rid AND c.c_end <= l.start_at WHERE c.type <> 'military' OR {overseas}),
+st AS (SELECT x.rid, x.start_at, (SELECT string_agg(t.text, ' ' ORDER BY t.idx) FROM tok t WHERE t.rid = x.rid AND t.idx >= le.line_start AND t.idx < x.start_at) AS text, (SELECT string_agg(t.text, ' ' ORDER BY t.idx) FROM tok t WHERE t.rid = x.rid AND t.idx < le.line_start) AS before
+  FROM (SELECT DISTINCT rid, start_at FROM lines WHERE start_at > 0) x JOIN tok q ON q.rid = x.rid AND q.idx = x.start_at - 1 JOIN le ON le.rid = q.rid AND le.line = q.line),
+qt AS (SELECT *, upper(regexp_replace(text, '[.,]', '', 'g')) AS t FROM st),
+qg AS MATERIALIZED (SELECT rid, start_at, before, {got} FROM qt WHERE regexp_matches(t, '{pattern}')),
+qs AS (SELECT rid, start_at, coalesce(upper(before), '') AS business_name, num AS primary_number, CASE WHEN name = '' THEN '' ELSE pre END AS predirectional, CASE WHEN name = '' THEN pre ELSE name END AS street_name, suf AS street_suffix, post AS postdirectional, unit AS secondary_designator, unit_no AS secondary_number  FROM qg WHERE name <> '' OR pre <> ''),
+whole AS (SELECT rid, type, type_no, CAST(CASE WHEN n_gaps = 0 THEN low WHEN {step} >= 3 THEN 50 WHEN {step} = 2 THEN 75 ELSE 90 END AS INTEGER) AS confidence, 0 AS clear, extent, line_no, claim_no,
+    '' AS business_name, coalesce(CASE WHEN n_parts = 2 THEN second END, '') AS primary_number, '' AS predirectional, CASE WHEN part = 'street_name' THEN value ELSE '' END AS street_name, '' AS street_suffix, '' AS postdirectional, '' AS secondary_designator, '' AS secondary_number, city, region, postal, country FROM ca
+  UNION ALL SELECT l.rid, NULL, 9, CAST(least(l.confidence, 75) AS INTEGER), l.confidence, l.length, l.line_no, 0, business_name, primary_number, predirectional, street_name, street_suffix, postdirectional, secondary_designator, secondary_number, city, region, postal, country FROM li l JOIN qs ON qs.rid = l.rid AND qs.start_at = l.start_at),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY confidence DESC, type_no, clear DESC, extent DESC, line_no, claim_no) AS nth FROM whole) WHERE nth = 1),
+parsed AS (SELECT rr.addr_id, top.type, {', '.join(f"coalesce(top.{n}, '') AS {n}" for n in _FIELDS)}, top.confidence FROM rr LEFT JOIN top ON top.rid = rr.rid)"""
+
+
 def core_oracle_sql() -> dict[str, str]:
     rr = "concat_ws(' ', a.street_name, a.primary_number)"
     last = _collapse("upper(concat_ws(' ', a.city, a.region, a.postal))")
@@ -329,9 +360,14 @@ isl AS (SELECT *, idx - row_number() OVER (PARTITION BY rid ORDER BY idx) AS g F
     out["line_claims"] = f"{_LINE_HEAD} SELECT addr_id, shape, CAST(start_at AS INTEGER) AS start_at, CAST(length AS INTEGER) AS length, CAST(confidence AS INTEGER) AS confidence, city, region, postal, country, CAST(gaps AS INTEGER) AS n_leftover FROM lines"
     out["line_rejections"] = f"""{_LINE_HEAD} SELECT l.addr_id, l.shape, CAST(l.start_at AS INTEGER) AS start_at, CAST(l.length AS INTEGER) AS length, CAST((SELECT count(*) FROM cls c WHERE c.rid = l.rid AND c.c_end > l.start_at AND c.c_start < l.n
   AND c.cid IS DISTINCT FROM l.ccid AND c.cid IS DISTINCT FROM l.pcid AND c.cid IS DISTINCT FROM l.rcid) AS INTEGER) AS n_rejected FROM lines l"""
+    out["rejected_claims"] = f"""{_LINE_HEAD} SELECT l.addr_id, l.shape, CAST(l.start_at AS INTEGER) AS line_start, c.vocab, CAST(c.c_start AS INTEGER) AS claim_start, CAST(c.c_end AS INTEGER) AS claim_end, CAST(c.confidence AS INTEGER) AS confidence FROM lines l JOIN cls c ON c.rid = l.rid AND c.c_end > l.start_at AND c.c_start < l.n
+  AND c.cid IS DISTINCT FROM l.ccid AND c.cid IS DISTINCT FROM l.pcid AND c.cid IS DISTINCT FROM l.rcid"""
     out["line_best"] = f"{_LINE_HEAD} SELECT addr_id, CAST(confidence AS INTEGER) AS confidence, CAST(start_at AS INTEGER) AS start_at, CAST(length AS INTEGER) AS length FROM (SELECT DISTINCT rid, addr_id, confidence, start_at, length, row_number() OVER (PARTITION BY rid ORDER BY confidence DESC, length DESC) AS nth FROM lines) WHERE nth = 1"
     for name, kind in (("pobox", "po_box"), ("rural_route", "rural_route"), ("military", "military")):
         out[f"candidates_{name}"] = _candidates(kind, kind)
+    out["parse_addresses"] = f"WITH {_parse_ctes()} SELECT * FROM parsed"
+    text = _normal_ctes("keep", False).replace("FROM addresses a", "FROM parsed a").removeprefix(_VOCAB + ",")
+    out["normalize_text"] = f"WITH {_parse_ctes()}, {text} SELECT addr_id, CASE WHEN error IS NULL THEN {_join('chr(10)', 'business_name', _STREET, _LASTLINE)} END AS formatted, error FROM done"
     both = " UNION ALL ".join(f"SELECT addr_id, confidence FROM ({out[f'candidates_{n}']})" for n in ("pobox", "rural_route", "military"))
     out["candidate_best"] = f"SELECT addr_id, max(confidence) AS confidence, count(*) AS n_candidates FROM ({both}) GROUP BY addr_id"
     hits = " UNION ALL ".join(f"SELECT {_q(n)} AS vocab, confidence FROM ({_claims_sql(n)}) WHERE part_no = 0" for n in _CLAIMS)

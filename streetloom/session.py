@@ -47,3 +47,12 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a plain scan, in at least as many partitions as there are cores: a file of one row group is one partition,
+    and work of milliseconds a row would run on one core. Larger tables have more and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or cores < 2 or sum(1 for _ in df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
