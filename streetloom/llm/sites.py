@@ -241,7 +241,7 @@ def assign(scored: DataFrame, exact_edges: int = 500_000, step: float = 0.001) -
     large = staged(tagged.groupBy("component").count().where(F.col("count") > exact_edges).select("component"), "assign-large")
     # a number of partitions that adaptive execution leaves as it is: the work is Python's, not bytes
     parts = max(1, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small = tagged.join(large, "component", "left_anti").select("component", "s", "g", "confidence").repartition(parts, "component").sortWithinPartitions("component", "s", "g")
+    small = tagged.join(large, "component", "left_anti").select("component", "s", "g", "confidence").repartition(parts, F.xxhash64("component")).sortWithinPartitions("component", "s", "g")
     out = out.unionByName(small.mapInPandas(_solve, "s long, g long, confidence double"))
     if large.isEmpty():
         return out

@@ -303,7 +303,7 @@ def map_values(df: DataFrame, id_col: str, vocab: DataFrame, fields: list[str] |
 
     # few bytes but much work: a number of partitions that adaptive execution leaves as it is
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    mapped = distinct.repartition(parts, "field", "value").mapInPandas(resolve, "field string, value string, _n long, code string, decided string")
+    mapped = distinct.repartition(parts, F.xxhash64("field", "value")).mapInPandas(resolve, "field string, value string, _n long, code string, decided string")
     return rows, mapped
 
 
