@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetloom.llm.addressparts import PART_NAMES, read_parts
-from streetloom.llm.names import NameReader
+from streetloom.llm.names import learned_reader, same_kind, words_apart
 from streetloom.operators.components import components
 from streetloom.session import staged
 
 #: Weights of the similarities; a field missing on either side leaves the sum and its weight out.
 WEIGHTS = {"core": 0.30, "kind": 0.10, "number": 0.18, "street": 0.18, "suffix": 0.04, "dirs": 0.03, "unit": 0.05, "city": 0.06, "zip": 0.06}
-_NAME = ["kind_", "core"]
+_NAME = ["kind_", "core", "words_"]
 _ALL = [*_NAME, *PART_NAMES]
 
 
@@ -116,7 +116,7 @@ def confidence() -> tuple[Column, Column]:
     for f, (known, s) in sims.items():
         num = num + F.when(known, s * WEIGHTS[f]).otherwise(0.0)
         den = den + F.when(known, WEIGHTS[f]).otherwise(0.0)
-    named, same_name = sims["core"][0], (sims["core"][1] >= 0.75) & (F.col("a_kind_") == F.col("b_kind_"))
+    named, same_name = sims["core"][0], (sims["core"][1] >= 0.75) & ~words_apart(F.col("a_words_"), F.col("b_words_")) & same_kind(F.col("a_kind_"), F.col("b_kind_"))
     numbered, same_number = sims["number"]
     street_ok = ~sims["street"][0] | (sims["street"][1] >= 0.6) | (F.col("a_sound") == F.col("b_sound"))
     figures = F.regexp_replace("a_street", r"[^0-9]", "") == F.regexp_replace("b_street", r"[^0-9]", "")
@@ -248,25 +248,27 @@ def assign(scored: DataFrame, exact_edges: int = 500_000, step: float = 0.001) -
     return out.unionByName(auction(tagged.join(large, "component", "left_semi").select("s", "g", "confidence"), step))
 
 
-def _read_names(df: DataFrame) -> DataFrame:
+def _read_names(df: DataFrame, reader) -> DataFrame:
+    """df with kind_, core and words_ for business_name; reader is a broadcast NameReader."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.drop("business_name").schema.fields)
 
     def run(batches):
-        reader = NameReader()
         for pdf in batches:
-            read = [reader.read(n) for n in pdf["business_name"]]
+            read = [reader.value.read(n) or ("", [], [], "") for n in pdf["business_name"]]
             out = pdf.drop(columns=["business_name"])
-            out["kind_"] = [x[0] if x else "" for x in read]
-            out["core"] = [x[1] if x else "" for x in read]
+            out["kind_"] = [x[0] for x in read]
+            out["core"] = ["".join(x[1]) for x in read]
+            out["words_"] = [x[1] for x in read]
             yield out
 
-    return df.mapInPandas(run, schema + ", kind_ string, core string")
+    return df.mapInPandas(run, schema + ", kind_ string, core string, words_ array<string>")
 
 
 def match_sites(left: DataFrame, left_id: str, right: DataFrame, right_id: str, vocab: DataFrame, least: float = 0.72, window: int = 8) -> DataFrame:
     """(left id, right id, confidence); ids of both sides may overlap, every pair of matching rows is listed."""
-    both = (_read_names(read_parts(left, left_id, vocab, ["business_name"])).withColumn("src", F.lit(0))
-            .unionByName(_read_names(read_parts(right, right_id, vocab, ["business_name"])).withColumn("src", F.lit(1))))
+    reader = left.sparkSession.sparkContext.broadcast(learned_reader(left.select("business_name").unionByName(right.select("business_name"))))  # bounded
+    both = (_read_names(read_parts(left, left_id, vocab, ["business_name"]), reader).withColumn("src", F.lit(0))
+            .unionByName(_read_names(read_parts(right, right_id, vocab, ["business_name"]), reader).withColumn("src", F.lit(1))))
     # ids of the two sources are kept apart
     read = staged(both.where(F.col("id").isNotNull()).withColumn("id", F.col("id") * 2 + F.col("src")), "sites")
     reps = staged(read.groupBy("src", *_ALL).agg(F.min("id").alias("id")), "site-reps")

@@ -332,6 +332,40 @@ def test_names(spark):
     assert names.p6_found(df.limit(0)).count() == 0
 
 
+TRADES_50 = """roofing plumbing landscaping catering towing welding tailoring upholstery locksmith masonry carpentry fencing paving gutters chimney septic drywall glazing tiling flooring painting wallpaper scaffolding
+demolition excavation surveying drafting printing bookbinding engraving framing photography videography florist nursery orchard winery brewery distillery creamery butcher fishmonger chandlery saddlery farrier kennel aviary
+beekeeping observatory planetarium""".split()
+
+
+def test_firms_of_unknown_trades_do_not_merge(spark):
+    """Fifty trades without a learned phrase: other surnames in one town and trade stay apart, other trades too. (Two trades a letter apart that are too rare to be learned, as aviary and apiary, would count as slips.)"""
+    surnames = ["Smith", "Jones", "Best", "Harbor", "Ng", "Li", "Underwood", "Blackwell"]
+    rows = [(k * 100 + j, f"{n} {t.title()}" + (" LLC" if (j + k) % 2 else ""), "Dunnport", "OH") for k, t in enumerate(TRADES_50) for j, n in enumerate(surnames)]
+    want = set()
+    for k, t in enumerate(TRADES_50):  # typed again, with a slip in the long surnames
+        rows += [(k * 100 + 50, f"UNDERWOD {t}", "Dunnport", "OH"), (k * 100 + 51, f"Smith {t}", "DUNNPORT", None)]
+        want |= {(k * 100 + 6, k * 100 + 50), (k * 100, k * 100 + 51)}
+    df = spark.createDataFrame(rows, "mention_id long, business_name string, city string, region string")
+    got = {tuple(r) for r in names.p6_found(df).collect()}
+    assert got == want
+
+
+def test_short_and_foreign_names_keep_their_rows(spark):
+    rows = [(1, "Ng", "Dunnport", "OH"), (2, "NG", "Dunnport", "OH"), (3, "Li", "Dunnport", "OH"), (4, "山猫書店", "Dunnport", "OH"), (5, "山猫書店", "Dunnport", "OH"), (6, "Dr. Wei Ng", "Dunnport", "OH"), (7, "Ng, Wei, MD", "Dunnport", "OH"), (8, "...", "x", "OH")]
+    df = spark.createDataFrame(rows, "mention_id long, business_name string, city string, region string")
+    e = {r["mention_id"]: r["entity_id"] for r in names.p6_entities(df).collect()}
+    assert set(e) == {1, 2, 3, 4, 5, 6, 7} and e[1] == e[2] != e[3] and e[4] == e[5] and e[6] == e[7]
+
+
+def test_trades_are_learned_from_the_names(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    rows = [(f"{word()} Zorbing Quell Emporium",) for _ in range(60)] + [(f"Quell Emporium {word()}",) for _ in range(5)] + [("Hotname " + w,) for w in ("Zorbing", "Quell", "Emporium", "Zorbing Quell") for _ in range(200)]
+    r = names.learned_reader(spark.createDataFrame(rows, "n string"))
+    assert {"zorbing", "quell", "emporium"} <= r.known and "hotname" not in r.known
+    assert r.read("Marrol Zorbng Quell Emporium")[:2] == ("emporium quell zorbing", ["marrol"]) and r.read("Marrol ZQE")[:2] == ("emporium quell zorbing", ["marrol"])
+
+
 def test_two_slips_in_a_long_word(spark):
     rng = random.Random(4)
     seen = 0
