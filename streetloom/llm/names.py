@@ -180,7 +180,7 @@ class NameReader:
         if w not in self.given_memo:
             if len(self.given_memo) > 300_000:
                 self.given_memo.clear()
-            near = [g for g in self.long_given if w[:1] == g[:1] and osa(w, g, 1) <= 1] or [g for g in self.long_given if len(g) >= 6 and osa(w, g, 2) <= 2 and len(w) >= 5]
+            near = [g for g in self.long_given if w[:1] == g[:1] and osa(w, g, 1) <= 1] or [g for g in self.long_given if len(g) >= 7 and len(w) >= 6 and w[-1:] == g[-1:] and osa(w, g, 2) <= 2]
             if not near and len(w) >= 4:  # a slip in a nickname; in a short one only an exchange or a letter more
                 near = [x for n in sorted(self.given) if len(n) >= 4 and n[0] == w[0] and osa(w, n, 1) <= 1 and (len(n) > 4 or len(w) > len(n) or sorted(w) == sorted(n)) for x in self.given[n]]
             nearest = min((osa(w, g, 2) for g in near), default=0)

@@ -338,16 +338,21 @@ beekeeping observatory planetarium""".split()
 
 
 def test_firms_of_unknown_trades_do_not_merge(spark):
-    """Fifty trades without a learned phrase: other surnames in one town and trade stay apart, other trades too. (Two trades a letter apart that are too rare to be learned, as aviary and apiary, would count as slips.)"""
-    surnames = ["Smith", "Jones", "Best", "Harbor", "Ng", "Li", "Underwood", "Blackwell"]
-    rows = [(k * 100 + j, f"{n} {t.title()}" + (" LLC" if (j + k) % 2 else ""), "Dunnport", "OH") for k, t in enumerate(TRADES_50) for j, n in enumerate(surnames)]
-    want = set()
-    for k, t in enumerate(TRADES_50):  # typed again, with a slip in the long surnames
-        rows += [(k * 100 + 50, f"UNDERWOD {t}", "Dunnport", "OH"), (k * 100 + 51, f"Smith {t}", "DUNNPORT", None)]
-        want |= {(k * 100 + 6, k * 100 + 50), (k * 100, k * 100 + 51)}
+    """Fifty trades without a learned phrase: other surnames in one town and trade stay apart, other trades too. (Two
+    trades a letter apart that are too rare to be learned, as aviary and apiary, would count as slips.)"""
+    rng = random.Random(13)
+    surname = lambda: "".join(rng.choice("BDFGKLMNPRSTVZ") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    rows, want = [], set()
+    for k, t in enumerate(TRADES_50):
+        own = [surname() for _ in range(5)] + [["Smith", "Jones", "Best", "Harbor"][k % 4], ["Ng", "Li"][k % 2]]
+        rows += [(k * 100 + j, f"{n} {t.title()}" + (" LLC" if (j + k) % 2 else ""), "Dunnport", "OH") for j, n in enumerate(own)]
+        rows += [(k * 100 + 50, f"{own[0][:3]}{own[0][4:]} {t}".upper(), "Dunnport", "OH"), (k * 100 + 51, f"{own[5]} {t}", "DUNNPORT", None)]
+        want |= {(k * 100, k * 100 + 50), (k * 100 + 5, k * 100 + 51)}
     df = spark.createDataFrame(rows, "mention_id long, business_name string, city string, region string")
     got = {tuple(r) for r in names.p6_found(df).collect()}
-    assert got == want
+    assert not got - want and len(want - got) <= 0.03 * len(want), (got - want, want - got)
+    two = spark.createDataFrame([(1, "Smith Roofing LLC", "x", "OH"), (2, "Jones Roofing LLC", "x", "OH"), (3, "Best Quarrying", "x", "OH"), (4, "Robert Quarrying", "x", "OH")], df.schema)
+    assert names.p6_found(two).count() == 0
 
 
 def test_short_and_foreign_names_keep_their_rows(spark):
