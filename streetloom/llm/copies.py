@@ -42,75 +42,111 @@ def key_hashes(key: Column) -> list[Column]:
 
 
 class CopyLedger:
-    """Bucketed counts of canonical keys in a folder all executors share.
+    """Bucketed counts of canonical keys in a folder all executors share; it outlives the session.
 
-    Every bucket is a folder that is replaced as a whole by a batch that touches it; a small manifest names the
-    folder of each bucket and is switched last, so that a failed batch leaves the old state.
+    A key's bucket is a hash of it. Every bucket is a folder that is replaced as a whole by a batch that touches it, and
+    only touched buckets are read, joined and written. A manifest names the folder of each bucket and the batches that
+    are in them. A new manifest is written beside the old one and then renamed, so that a failed batch leaves the old
+    state whole, and a batch that is tried again changes nothing once its id is in.
     """
 
     SCHEMA = "k1 long, k2 long, n long, first_id long"
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path or new_path(spark, "ledger"), buckets
+        self.spark, self.path = spark, (path or new_path(spark, "ledger")).rstrip("/")
         self.where: dict[int, str] = {}
-        fs, p = self._fs("manifest")
-        if fs.exists(p):
-            self.where = {int(k): v for k, v in json.loads(spark.read.text(f"{self.path}/manifest", wholetext=True).first()[0]).items()}
+        self.batches: list[str] = []
+        self.buckets, self.edition = buckets, 0
+        fs, root = self._fs("")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        editions = sorted(int(n.split("-")[1]) for n in names if n.startswith("manifest-"))
+        if editions:
+            self.edition = editions[-1]
+            state = json.loads(spark.read.text(f"{self.path}/manifest-{self.edition:09d}", wholetext=True).first()[0])
+            # the number of buckets is the ledger's, whatever is asked for now
+            self.where, self.batches, self.buckets = {int(k): v for k, v in state["where"].items()}, state["batches"], state["buckets"]
 
     def _fs(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _switch(self) -> None:
+        """Write the next manifest under another name, rename it, and drop the one before the last."""
+        text = json.dumps({"where": self.where, "batches": self.batches, "buckets": self.buckets})
+        fs, hidden = self._fs(f"_next-{new_path(self.spark, '')[-12:]}")
+        out = fs.create(hidden, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        name = f"manifest-{self.edition + 1:09d}"
+        if fs.exists(self._fs(name)[1]) or not fs.rename(hidden, self._fs(name)[1]):
+            raise RuntimeError(f"another writer has changed the ledger at {self.path}")
+        self.edition += 1
+        old = self._fs(f"manifest-{self.edition - 2:09d}")[1]
+        if fs.exists(old):
+            fs.delete(old, False)
+
     def state(self, touched: list[int] | None = None) -> DataFrame:
-        at = [v for k, v in self.where.items() if touched is None or k in touched]
-        versions = sorted({v for v in at})
-        if not versions:
-            return self.spark.createDataFrame([], self.SCHEMA + ", bucket int")
+        """(k1, k2, n, first_id, bucket) of the touched buckets, or all."""
         out = None
-        for v in versions:
-            mine = [k for k, w in self.where.items() if w == v and (touched is None or k in touched)]
-            df = self.spark.read.schema(self.SCHEMA + ", bucket int").parquet(f"{self.path}/{v}").where(F.col("bucket").isin(mine))
-            out = df if out is None else out.unionByName(df)
-        return out
-
-    def update(self, batch: DataFrame, id_col: str) -> None:
-        """Add a batch with columns k1, k2 and id_col. An empty batch changes nothing."""
+        for v in sorted(set(self.where.values())):
+            mine = [k for k, w in self.where.items() if w == v and (touched is None or k in set(touched))]
+            if mine:
+                df = self.spark.read.option("basePath", f"{self.path}/{v}").schema(self.SCHEMA + ", bucket int").parquet(*[f"{self.path}/{v}/bucket={k}" for k in sorted(mine)])
+                out = df if out is None else out.unionByName(df)
+        return self.spark.createDataFrame([], self.SCHEMA + ", bucket int") if out is None else out
+
+    def update(self, batch: DataFrame, id_col: str, batch_id: str) -> bool:
+        """Add a batch with columns k1, k2 and id_col; whether it was new. An empty batch changes no bucket."""
+        if batch_id in self.batches:
+            return False
         bucket = F.pmod(F.col("k1"), F.lit(self.buckets)).cast("int")
-        new = batch.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).withColumn("bucket", bucket)
-        if self.where:
-            # at most one small integer per bucket comes to the driver
-            touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
-            old = self.state(touched).select("k1", "k2", F.col("n").alias("_n"), F.col("first_id").alias("_first"))
-            new = new.join(old, ["k1", "k2"], "full_outer").select(
-                "k1", "k2", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
-                F.least("first_id", "_first").alias("first_id"), bucket.alias("bucket"))
-        version = f"v{len(set(self.where.values())) + 1}-{new_path(self.spark, '')[-8:]}"
-        new.write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        if not self.where:
-            touched = [r[0] for r in self.spark.read.parquet(f"{self.path}/{version}").select("bucket").distinct().collect()] if self._any(version) else []
-        before = set(self.where.values())
-        self.where |= {int(k): version for k in touched}
-        self.spark.createDataFrame([(json.dumps(self.where),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
-        for gone in before - set(self.where.values()):
-            remove(self.spark, f"{self.path}/{gone}")
-
-    def _any(self, version: str) -> bool:
-        fs, p = self._fs(version)
-        return any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(p))
-
-
-def copies(df: DataFrame, id_col: str, batch_col: Column | None = None, fixed: list[str] | None = None, swappable: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows k1, k2, n, first_id; keyed rows id, k1, k2) of a whole table, fed to a ledger batch by batch.
-
-    batch_col splits the table into batches (a calendar year, say): their number must not grow with the data.
+        new = staged(batch.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).withColumn("bucket", bucket), "ledger-batch")
+        # at most one small integer per bucket comes to the driver
+        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
+        if touched:
+            known = [k for k in touched if k in self.where]
+            merged = new
+            if known:
+                old = self.state(known).select("k1", "k2", F.col("n").alias("_n"), F.col("first_id").alias("_first"))
+                merged = new.drop("bucket").join(old, ["k1", "k2"], "full_outer").select(
+                    "k1", "k2", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"), F.least("first_id", "_first").alias("first_id"), bucket.alias("bucket"))
+            version = f"v{self.edition + 1}-{new_path(self.spark, '')[-8:]}"
+            # a bucket is written by one task, whole
+            merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+            self.where |= {k: version for k in touched}
+        self.batches.append(batch_id)
+        self._switch()
+        self._sweep()
+        return True
+
+    def _sweep(self) -> None:
+        """Delete versions that neither this manifest nor the one before it names."""
+        fs, root = self._fs("")
+        named = set(self.where.values())
+        last = self._fs(f"manifest-{self.edition - 1:09d}")[1]
+        if fs.exists(last):
+            named |= set(json.loads(self.spark.read.text(last.toString(), wholetext=True).first()[0])["where"].values())
+        for s in fs.listStatus(root):
+            name = s.getPath().getName()
+            if name.startswith("v") and name not in named and int(name[1:].split("-")[0]) < self.edition:
+                remove(self.spark, f"{self.path}/{name}")
+
+
+def copies(df: DataFrame, id_col: str, batch_col: Column | None = None, fixed: list[str] | None = None, swappable: list[str] | None = None, path: str | None = None, keys_per_bucket: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows k1, k2, n, first_id; keyed rows id, k1, k2) of a table fed to a ledger batch by batch.
+
+    batch_col splits the table into batches (a calendar year, say), whose values are their ids. With a path the ledger
+    there is kept: batches it holds are skipped, others are added. A new ledger has a bucket for each keys_per_bucket
+    rows, 16 at least.
     """
     spark = df.sparkSession
     keyed = df.select(F.col(id_col), *key_hashes(canonical_key(fixed or FIXED, swappable or SWAPPABLE)), (batch_col if batch_col is not None else F.lit(0)).cast("int").alias("_batch"))
     keyed = staged(keyed, "keyed")
-    ledger = CopyLedger(spark)
-    for (b,) in sorted(keyed.select("_batch").distinct().collect(), key=lambda r: (r[0] is None, r[0])):
-        ledger.update(keyed.where(F.col("_batch").eqNullSafe(F.lit(b))), id_col)
+    sizes = {r[0]: r[1] for r in keyed.groupBy("_batch").count().collect()}
+    ledger = CopyLedger(spark, path, max(16, -(-sum(sizes.values()) // keys_per_bucket)))
+    for b in sorted(sizes, key=lambda x: (x is None, x)):
+        ledger.update(keyed.where(F.col("_batch").eqNullSafe(F.lit(b))), id_col, str(b))
     return ledger.state(), keyed.select(id_col, "k1", "k2")
 
 

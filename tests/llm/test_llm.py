@@ -55,14 +55,45 @@ def test_copies_against_brute_force(spark):
 
 
 def test_ledger_grows_by_batches_and_keeps_untouched_buckets(spark, tmp_path):
-    ledger = copies.CopyLedger(spark, str(tmp_path / "l"), buckets=4)
-    ledger.update(spark.createDataFrame([(k, 0, 10 + k) for k in range(8)] * 2, "k1 long, k2 long, i long"), "i")
+    schema, at = "k1 long, k2 long, i long", str(tmp_path / "l")
+    ledger = copies.CopyLedger(spark, at, buckets=4)
+    assert ledger.update(spark.createDataFrame([(k, 0, 10 + k) for k in range(8)] * 2, schema), "i", "first")
     before = dict(ledger.where)
-    ledger = copies.CopyLedger(spark, str(tmp_path / "l"), buckets=4)  # read again from the folder
-    ledger.update(spark.createDataFrame([(1, 0, 3), (5, 0, 99)], "k1 long, k2 long, i long"), "i")
-    assert {k for k in before if ledger.where[k] != before[k]} == {1}
-    got = {r["k1"]: (r["n"], r["first_id"]) for r in ledger.state().collect()}
-    assert got[1] == (3, 3) and got[5] == (3, 15) and got[0] == (2, 10) and len(got) == 8
+    ledger = copies.CopyLedger(spark, at, buckets=99)  # read again from the folder; the buckets are the ledger's
+    assert ledger.buckets == 4
+    second = spark.createDataFrame([(1, 0, 3), (5, 0, 99)], schema)
+    assert ledger.update(second, "i", "second") and {k for k in before if ledger.where[k] != before[k]} == {1}
+    state = lambda x: {r["k1"]: (r["n"], r["first_id"]) for r in x.state().collect()}
+    want = state(ledger)
+    assert want[1] == (3, 3) and want[5] == (3, 15) and want[0] == (2, 10) and len(want) == 8
+    again = copies.CopyLedger(spark, at)
+    assert not again.update(second, "i", "second") and state(again) == want  # a batch tried again changes nothing
+    assert again.update(second.limit(0), "i", "empty") and state(again) == want
+    files = {f for f in again.state([1]).inputFiles()}
+    assert files and all("bucket=1/" in f for f in files)
+
+
+def test_ledger_survives_a_batch_that_fails(spark, tmp_path):
+    schema, at = "k1 long, k2 long, i long", str(tmp_path / "l")
+    ledger = copies.CopyLedger(spark, at, buckets=2)
+    ledger.update(spark.createDataFrame([(1, 0, 1), (2, 0, 2)], schema), "i", "a")
+    ledger._switch = lambda: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        ledger.update(spark.createDataFrame([(1, 0, 0)], schema), "i", "b")
+    back = copies.CopyLedger(spark, at)
+    assert back.batches == ["a"] and {r["k1"]: r["n"] for r in back.state().collect()} == {1: 1, 2: 1}
+    other = copies.CopyLedger(spark, at)
+    back.update(spark.createDataFrame([(1, 0, 0)], schema), "i", "b")
+    with pytest.raises(RuntimeError):  # two writers: the second one must begin again
+        other.update(spark.createDataFrame([(2, 0, 0)], schema), "i", "c")
+    assert {r["k1"]: (r["n"], r["first_id"]) for r in copies.CopyLedger(spark, at).state().collect()} == {1: (2, 0), 2: (1, 2)}
+
+
+def test_a_kept_ledger_skips_the_batches_it_holds(spark, tmp_path):
+    rows = table(spark, [dict(addr_id=i, city=f"c{i % 5}") for i in range(20)])
+    for _ in range(2):
+        state, _ = copies.copies(rows, "addr_id", F.year("received_at"), path=str(tmp_path / "kept"))
+        assert sorted((r["first_id"], r["n"]) for r in state.collect()) == [(i, 4) for i in range(5)]
 
 
 # --- p7 ---
