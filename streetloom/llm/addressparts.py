@@ -132,7 +132,7 @@ class AddressReader:
         elif joined is None and len(w) > 1 and len(w[0]) >= 8 and (c := self.code("predirectional", w[0])) and not pre:
             pre, w = c, w[1:]
         if joined is None and len(w) > 1 and w[-1] not in ("BOX",):
-            c = self.exact("street_suffix", w[-1]) or (self.code("street_suffix", w[-1]) if not suffix and len(w[-1]) >= 5 and w[-1] not in _NOT_SUFFIX else "")
+            c = self.exact("street_suffix", w[-1]) or (self.code("street_suffix", w[-1]) if not suffix and len(w[-1]) >= 5 else "")
             if c and (not suffix or c == suffix):
                 suffix, w = c, w[:-1]
                 while len(w) > 1 and self.exact("street_suffix", w[-1]) == suffix:
@@ -170,8 +170,6 @@ def _ordinal_words() -> dict[str, str]:
 
 
 _ORDINALS = _ordinal_words()
-#: Last words of street names that are one slip away from a suffix but are names.
-_NOT_SUFFIX = {"ACORN", "ANVIL", "BADGER", "BARREL", "BEACON", "BRAMBLE", "CLOVER", "CRICKET", "FIDDLE", "FINCH", "HARROW", "HATCHET", "HERON", "KETTLE", "LANTERN", "MALLARD", "OTTER", "PEBBLE", "PLOVER", "SADDLE", "SPARROW", "SPINDLE", "THISTLE", "TURTLE", "WAGON", "VERDE", "BRAVA"}
 
 
 def read_parts(df: DataFrame, id_col: str, vocab: DataFrame, more: list[str] | None = None) -> DataFrame:

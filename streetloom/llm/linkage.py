@@ -8,8 +8,12 @@ A part may be missing on both sides, so a posterior alone can't tell two neighbo
 of equal detail link first; then groups join the places of groups with more detail that they match, most detailed
 first, unless two of those places contradict each other in a part known of both.
 
-Defined results: records without a house number and without a street match only equal readings of themselves with a
-town or postcode; records with nothing to compare match nothing; repeated rows are at the same location.
+House number and unit are part of every block: a street has any number of houses and a house any number of units, so
+blocks without them would grow without bound, and another number or unit is another location by definition. The blocks'
+join has written tables on both sides, so adaptive execution splits a hot key.
+
+Defined results: a record without a house or box number, or with neither town nor postcode, is a location of its own;
+repeated rows are at the same location.
 """
 
 from __future__ import annotations
@@ -199,6 +203,8 @@ def link_addresses(records: DataFrame, id_col: str, vocab: DataFrame, least: flo
     patterns = [(tuple(r[p] for p in parts), r["count"]) for r in compared.groupBy(*parts).count().collect()]
     chance = [(tuple(r[p] for p in parts), r["count"]) for r in chance_pairs(reps).select(*[comparison(p).cast("int").alias(p) for p in parts]).groupBy(*parts).count().collect()]
     mu, share = estimate(patterns, chance)
+    # neighbours agree in all but one part, against the independence the weights assume: a known contradiction in a
+    # strict part, or a place without agreement in town or postcode, is no link whatever the other parts weigh
     good = [x for x, _ in patterns if posterior(x, mu, share) >= least and min(x[parts.index(p)] for p in _STRICT) > 0 and (x[parts.index("zip")] == 2 or x[parts.index("city")] >= 2)]
     spark = records.sparkSession
     keep = spark.createDataFrame([tuple(x) for x in good], ", ".join(f"{p} int" for p in parts)) if good else spark.createDataFrame([], ", ".join(f"{p} int" for p in parts))

@@ -91,6 +91,30 @@ def osa(a: str, b: str, most: int) -> int:
     return min(prev[-1], most + 1)
 
 
+def without(word: str, most: int) -> set[str]:
+    """word with up to most letters left out."""
+    out = last = {word}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1:] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
+class SlipIndex:
+    """Finds the words within their number of edits of a typed word: both lose as many letters to become the same."""
+
+    def __init__(self, most: dict[str, int]):
+        self.most = most
+        self.by_rest: dict[str, list[str]] = {}
+        for w, k in sorted(most.items()):
+            for x in without(w, k):
+                self.by_rest.setdefault(x, []).append(w)
+
+    def find(self, typed: str) -> list[tuple[int, str]]:
+        near = {w for x in without(typed, max(self.most.values(), default=0)) for w in self.by_rest.get(x, ())}
+        return sorted((d, w) for w in near if (d := osa(typed, w, self.most[w])) <= self.most[w])
+
+
 def name_words(name: str | None) -> list[str]:
     """Words of a name in small letters: dotted initials joined, possessives and apostrophes off."""
     text = re.sub(r"\b(?:[a-z]\.){2,}[a-z]?\.?", lambda m: m[0].replace(".", ""), fold(name))  # M.D., L.L.C.
@@ -122,11 +146,8 @@ class NameReader:
                     self.initials.setdefault(k, " ".join(sorted(ws)))
         # frequent initials are no words of their own
         self.known -= self.initials.keys() - set(TRADE_WORDS)
-        self.words = sorted(self.known)
-        self.by_length: dict[int, list[str]] = {}
-        for w in self.words:
-            if len(w) >= 4:
-                self.by_length.setdefault(len(w), []).append(w)
+        self.slips = SlipIndex({w: 2 if len(w) >= 7 else 1 for w in self.known if len(w) >= 4})
+        self.short_slips = SlipIndex({k: 1 for k in SHORT if len(k) >= 4})
         # a part of a trade that is more frequent as a whole is no trade of its own
         self.trades = {ws: n for ws, n in total.items() if ws <= self.known and not any(ws < o and m >= n for o, m in total.items())}
         self.learned = {w for ws in self.trades for w in ws}
@@ -135,7 +156,8 @@ class NameReader:
         for g, nicks in given.items():
             for n in nicks.split():
                 self.given[n] = tuple(sorted({*self.given.get(n, ()), g}))
-        self.long_given = [g for g in given if len(g) >= 4]
+        self.given_slips = SlipIndex({g: 2 if len(g) >= 7 else 1 for g in given if len(g) >= 4})
+        self.nick_slips = SlipIndex({n: 1 for n in self.given if len(n) >= 4})
         self.memo: dict[str, list[str]] = {}
         self.given_memo: dict[str, tuple[str, ...]] = {}
 
@@ -152,9 +174,8 @@ class NameReader:
             return [SHORT.get(w, w)]
         if len(w) < 4:
             return []
-        near = [(d, x) for n in range(len(w) - 2, len(w) + 3) for x in self.by_length.get(n, ()) if len(x) >= 5 or x[0] == w[0]
-                if (d := osa(w, x, 2 if len(x) >= 7 else 1)) <= (2 if len(x) >= 7 else 1)]
-        near += [(1, v) for k, v in SHORT.items() if len(k) >= 4 and osa(w, k, 1) <= 1]
+        near = [(d, x) for d, x in self.slips.find(w) if len(x) >= 5 or x[0] == w[0]]
+        near += [(1, SHORT[k]) for _, k in self.short_slips.find(w)]
         # words of the learned trades first
         near = [x for x in near if x[1] in self.learned] or near
         return sorted({x for d, x in near if d == min(near)[0]})
@@ -174,15 +195,22 @@ class NameReader:
             return " ".join(best[2])
         return " ".join(sorted(ks))
 
+    def tags(self, kind: str, given: list[str]) -> list[str]:
+        """What names of the same kind have in common: the trade if it is a known one, else its words."""
+        if kind == "person":
+            return [f"person|{given[0][:1] if given else ''}"]
+        return [kind] if not kind or frozenset(kind.split()) in self.trades else kind.split()
+
     def given_name(self, w: str) -> tuple[str, ...]:
         if w in self.given:
             return self.given[w]
         if w not in self.given_memo:
             if len(self.given_memo) > 300_000:
                 self.given_memo.clear()
-            near = [g for g in self.long_given if w[:1] == g[:1] and osa(w, g, 1) <= 1] or [g for g in self.long_given if len(g) >= 7 and len(w) >= 6 and w[-1:] == g[-1:] and osa(w, g, 2) <= 2]
+            found = [(d, g) for d, g in self.given_slips.find(w) if w[:1] == g[:1] and d <= 1] or [(d, g) for d, g in self.given_slips.find(w) if d == 2 and len(w) >= 6 and w[-1:] == g[-1:]]
+            near = [g for _, g in found]
             if not near and len(w) >= 4:  # a slip in a nickname; in a short one only an exchange or a letter more
-                near = [x for n in sorted(self.given) if len(n) >= 4 and n[0] == w[0] and osa(w, n, 1) <= 1 and (len(n) > 4 or len(w) > len(n) or sorted(w) == sorted(n)) for x in self.given[n]]
+                near = [x for _, n in self.nick_slips.find(w) if n[0] == w[0] and (len(n) > 4 or len(w) > len(n) or sorted(w) == sorted(n)) for x in self.given[n]]
             nearest = min((osa(w, g, 2) for g in near), default=0)
             self.given_memo[w] = tuple(sorted({x for g in near if osa(w, g, 2) == nearest for x in self.given[g]}))
         return self.given_memo[w]
@@ -308,7 +336,7 @@ def probe_words(word: str, edits: int, longer: bool = True) -> list[str]:
     return out + (probe_keys(word, most, long_) if long_ else [])
 
 
-_READ = "kind string, core string, words array<string>, given array<string>, middle string, city string, region string, weak boolean"
+_READ = "kind string, tags array<string>, core string, words array<string>, given array<string>, middle string, city string, region string, weak boolean"
 
 
 def read_names(df: DataFrame, id_col: str, name: str, city: str, region: str) -> DataFrame:
@@ -325,8 +353,8 @@ def read_names(df: DataFrame, id_col: str, name: str, city: str, region: str) ->
                     continue
                 place, state = city_key(c), re.sub(r"[^A-Z]", "", (r or "").upper())
                 weak = not place or kind == "" and len(words) < 2 or kind == "person" and (len(given) != 1 or len(given[0]) == 1)
-                out.append((i, kind, text, words, given, middle, place, "" if state == "UNKNOWN" else state, weak))
-            yield pd.DataFrame(out, columns=["id", "kind", "core", "words", "given", "middle", "city", "region", "weak"])
+                out.append((i, kind, reader.tags(kind, given), text, words, given, middle, place, "" if state == "UNKNOWN" else state, weak))
+            yield pd.DataFrame(out, columns=["id", "kind", "tags", "core", "words", "given", "middle", "city", "region", "weak"])
 
     return df.where(F.col(name).isNotNull()).select(F.col(id_col).alias("id"), F.col(name).alias("n"), F.col(city).alias("c"), F.col(region).alias("r")).mapInPandas(run, "id long, " + _READ)
 
@@ -381,16 +409,12 @@ def _candidates(index: DataFrame, probe: DataFrame, edits: int, blocks_a: Column
     return a.join(b, "key").where("a <> b").select("a", "b").distinct()
 
 
-def _in_region() -> Column:
-    return F.concat_ws("|", F.when(F.col("kind") == "person", "person").otherwise("firm"), "region")
-
-
 def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: str = "city", region: str = "region", edits: int = 1) -> DataFrame:
     """(id, entity): entity is the smallest id of the mentions of the same person or organisation.
 
     Two spellings are at most edits apart, one more where one of them has LONG letters."""
     read = staged(read_names(df, id_col, name, city, region), "names")
-    cols = ["kind", "core", "words", "given", "middle", "city", "region", "weak"]
+    cols = ["kind", "tags", "core", "words", "given", "middle", "city", "region", "weak"]
     # identical readings are one representative; copies never meet in a pair
     counts = read.groupBy(*cols).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     support = counts.groupBy("kind", "core").agg(F.sum("n").alias("support"))
@@ -398,8 +422,8 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     strong, weak = reps.where("not weak"), reps.where("weak")
 
     # a city typed with one slip keeps its first or its last letters
-    who = F.when(F.col("kind") == "person", F.concat(F.lit("person|"), F.coalesce(F.substring(F.try_element_at("given", F.lit(1)), 1, 1), F.lit("")))).otherwise("firm")
-    blocks = F.array(F.concat_ws("|", who, F.lit("<"), F.substring("city", 1, 4)), F.concat_ws("|", who, F.lit(">"), F.substring("city", -4, 4)))
+    ends = lambda x: F.array(F.concat_ws("|", x, F.lit("<"), F.substring("city", 1, 4)), F.concat_ws("|", x, F.lit(">"), F.substring("city", -4, 4)))
+    blocks = F.flatten(F.transform("tags", ends))
     pairs = _candidates(strong, strong, edits, blocks, blocks, longer=False)
 
     def side(df: DataFrame, p: str) -> DataFrame:
@@ -427,7 +451,8 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     nearby = _candidates(strong, weak.where("city <> ''"), edits, open_blocks("city"), open_blocks("city"))
     placeless = weak.where("city = ''").select(F.col("id").alias("b"), F.explode(F.array("core")).alias("core"))
     anywhere = strong.select(F.col("id").alias("a"), "core").join(placeless, "core").select("a", "b")
-    slipped = _candidates(strong, weak.where("city = ''"), edits, F.array(_in_region()), F.array(_in_region())).select("a", "b")
+    in_region = F.transform("tags", lambda x: F.concat_ws("|", F.when(F.col("kind") == "person", "person").otherwise(x), "region"))
+    slipped = _candidates(strong, weak.where("city = ''"), edits, in_region, in_region).select("a", "b")
     fit = (nearby.unionByName(anywhere).unionByName(slipped).distinct().join(side(strong, "a"), "a").join(side(weak, "b"), "b")
            .where(((F.col("b_kind") == "") | kind) & agree & town & core & ((F.col("a_kind") != "person") | (F.col("b_kind") == "") | initial)))
     fit = fit.select("b", "a", F.when(F.col("a_core") == F.col("b_core"), 0).when(same_word(F.col("a_core"), F.col("b_core"), edits), 1).otherwise(2).alias("d")).join(entity.withColumnRenamed("id", "a"), "a")
