@@ -50,6 +50,17 @@ def suffix_short(c: Column) -> Column:
     return look_up(clean_key(c), {k: s[1] for k, s in v.suffixes().items()})
 
 
+def region_alternates(c: Column) -> Column:
+    """All spellings of the region c is, in order and joined by '|'."""
+    of = v.spellings_of(v.regions())
+    return look_up(clean_key(c), {k: "|".join(of[r]) for k, r in v.regions().items()})
+
+
+def suffix_alternates(c: Column) -> Column:
+    of = v.spellings_of(v.suffixes())
+    return look_up(clean_key(c), {k: "|".join(of[x]) for k, x in v.suffixes().items()})
+
+
 def directional_abbrev(c: Column) -> Column:
     return look_up(F.upper(c), v.directions_short())
 

@@ -57,6 +57,14 @@ def join_non_empty(sep: str, *parts: Column) -> Column:
 _BASE = {"Æ": "a", "æ": "a", "Ð": "e", "ð": "e", "Ø": "o", "ø": "o", "×": "o", "÷": "o", "Œ": "o", "œ": "o", "Þ": "p", "þ": "p", "ß": "s"}
 _SPELLED = {"Æ": "ae", "æ": "ae", "Ð": "d", "ð": "d", "Ø": "o", "ø": "o", "Œ": "oe", "œ": "oe", "Þ": "th", "þ": "th", "ß": "ss", "Ł": "l", "ł": "l", "Đ": "d", "đ": "d", "ı": "i", "Ħ": "h", "ħ": "h"}
 
+# Cyrillic and Greek letters in their usual Latin spelling (й is no accented и).
+_CYRILLIC = (
+    "а a, б b, в v, г g, д d, е e, ж zh, з z, и i, й y, к k, л l, м m, н n, о o, п p, р r, с s, т t, у u, ф f, х kh, ц ts, ч ch, ш sh, щ shch, ы y, э e, ю yu, я ya, "
+    "і i, є ye, ґ g, ђ dj, ј j, љ lj, њ nj, ћ c, џ dz, ѕ dz"
+)
+_GREEK = "α a, β v, γ g, δ d, ε e, ζ z, η i, θ th, ι i, κ k, λ l, μ m, ν n, ξ x, ο o, π p, ρ r, σ s, ς s, τ t, υ y, φ f, χ ch, ψ ps, ω o"
+_SPELLED |= {c: x for a, x in (p.split(" ") for p in f"{_CYRILLIC}, {_GREEK}".split(", ")) for c in (a, a.upper())} | {"Ь": "", "ь": "", "Ъ": "", "ъ": ""}
+
 
 @functools.lru_cache(None)
 def _decomposed() -> dict[str, str]:
@@ -74,28 +82,34 @@ def _decomposed() -> dict[str, str]:
 def translate_table(mode: DiacriticMode) -> tuple[str, str]:
     """Characters replaced one by one: decompositions first, then the letters that don't decompose."""
     letters = _BASE if mode is DiacriticMode.SUBSTITUTE else {k: v for k, v in _SPELLED.items() if len(v) == 1}
-    table = {c: letters.get(d, d) for c, d in _decomposed().items() if mode is DiacriticMode.SUBSTITUTE or len(_SPELLED.get(d, "x")) == 1} | letters
+    table = {c: letters.get(d, d) for c, d in _decomposed().items() if mode is DiacriticMode.SUBSTITUTE or len(_SPELLED.get(d, "x")) == 1 and len(_SPELLED.get(c, "x")) == 1} | letters
     keys = sorted(table)
     return "".join(keys), "".join(table[k] for k in keys)
 
 
+def _lower(c: Column) -> Column:
+    """Letter by letter: a capital sigma is the same small one at the end of a word."""
+    return F.lower(F.replace(c, F.lit("Σ"), F.lit("σ")))
+
+
 def diacritics_substitute(c: Column) -> Column:
     """Base letters in lower case; combining marks vanish."""
     a, b = translate_table(DiacriticMode.SUBSTITUTE)
-    return F.lower(F.regexp_replace(F.translate(c, a, b), r"\p{Mn}+", ""))
+    return _lower(F.regexp_replace(F.translate(c, a, b), r"\p{Mn}+", ""))
 
 
 def diacritics_transliterate(c: Column) -> Column:
-    """Latin letters spelled out in lower case (Æ as ae). Other scripts stay as they are."""
+    """Latin, Cyrillic and Greek letters spelled out in lower-case Latin ones (Æ as ae). Scripts without an alphabet of
+    their own to spell (Chinese, Japanese and others) stay as they are."""
     out = c
     for d, c0 in sorted(_decomposed().items()):
-        if len(_SPELLED.get(c0, "")) > 1:
+        if len(_SPELLED.get(c0, "")) > 1 and d not in _SPELLED:
             out = F.replace(out, F.lit(d), F.lit(_SPELLED[c0]))
     for k, v in _SPELLED.items():
-        if len(v) > 1:
+        if len(v) != 1:
             out = F.replace(out, F.lit(k), F.lit(v))
     a, b = translate_table(DiacriticMode.TRANSLITERATE)
-    return F.lower(F.regexp_replace(F.translate(out, a, b), r"\p{Mn}+", ""))
+    return _lower(F.regexp_replace(F.translate(out, a, b), r"\p{Mn}+", ""))
 
 
 def diacritics_normalize(c: Column, mode: DiacriticMode) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +12,12 @@ from pyspark.sql import functions as F
 from streetloom.functions import lookups as look
 from streetloom.functions import patterns as pat
 from streetloom.functions import text as tx
-from streetloom.functions.spans import computed_once, gaps, line_end, overlaps
+from streetloom.functions.spans import claim_end, claim_start, computed_once, demote, gaps, line_end, line_start, overlaps, token_join
 from streetloom.operators import fuzzy
 from streetloom.operators.claims import VOCABULARIES, claim_rows, with_claims, with_tokens
 from streetloom.operators.lastline import FIELDS, assign, candidate_rows, line_readings, line_rows, rejected_claims, rejections
-from streetloom.operators.normalize import CONTENT, MATCHING, address_equals, format_address, format_last_line, format_street_line, normalize_address
-from streetloom.operators.parse import normalize_text, parse_addresses, split_road
+from streetloom.operators.normalize import CONTENT, MATCHING, address_equals, as_rural_route, format_address, format_last_line, format_street_line, normalize_address, with_options
+from streetloom.operators.parse import address_from_labels, external_labels, normalize_text, parse_addresses, split_road
 from streetloom.session import spread
 from streetloom.session import table as scan
 
@@ -159,6 +161,72 @@ def q_split_road(s, d):
     return table(s, d, "addresses").select("addr_id", split_road(F.trim(F.regexp_replace(road, "[ \t\n\f\r]+", " "))).alias("r")).select("addr_id", "r.predirectional", "r.street_name", "r.postdirectional")
 
 
+def q_token_join(s, d):
+    """Every line's words joined by blanks."""
+    rows = _tokens(s, d).select("addr_id", "tokens", F.posexplode("tokens").alias("idx", "t")).where("t.position = 0")
+    return rows.select("addr_id", C("t.line").alias("line"), token_join(C("tokens"), C("idx"), line_end(C("tokens"), C("idx")) - C("idx")).alias("text"))
+
+
+def q_line_start(s, d):
+    return _tokens(s, d).select("addr_id", "tokens", F.posexplode("tokens").alias("idx", "t")).select("addr_id", "idx", line_start(C("tokens"), C("idx")).cast("int").alias("line_start"))
+
+
+def _each_claim(s, d) -> DataFrame:
+    return _swept(s, d).select("addr_id", F.size("tokens").alias("n"), F.explode("claims").alias("c"))
+
+
+def q_claim_extent(s, d):
+    return _each_claim(s, d).select("addr_id", C("c.vocab").alias("vocab"), claim_start(C("c.parts")).alias("start_at"), claim_end(C("c.parts")).alias("end_at"), (claim_end(C("c.parts")) - claim_start(C("c.parts"))).alias("length"))
+
+
+def q_demote(s, d):
+    """Claims' confidence one, two and three steps down."""
+    return _each_claim(s, d).select("addr_id", C("c.vocab").alias("vocab"), C("c.start").alias("start_at"), C("c.confidence").alias("confidence"), *[demote(C("c.confidence"), F.lit(k)).alias(f"down_{k}") for k in (1, 2, 3)])
+
+
+def q_claims_ending_at(s, d):
+    """Claims of one part that end with the text."""
+    return _each_claim(s, d).where((F.size("c.parts") == 1) & (C("c.end") == C("n"))).select("addr_id", C("c.vocab").alias("vocab"), C("c.start").alias("start_at"), F.element_at("c.parts", 1)["part"].alias("part"), F.element_at("c.parts", 1)["value"].alias("value"))
+
+
+def q_city_readings(s, d):
+    """The cities that readings of one text propose."""
+    rows = line_rows(_swept(s, d)).where(C("line.shape") != "postal")
+    return rows.groupBy("addr_id", C("line.start").alias("start_at"), _values("city").alias("city")).agg(F.count(F.lit(1)).alias("n_readings"))
+
+
+def q_as_rural_route(s, d):
+    n = normalize_address(as_rural_route(_address(table(s, d, "addresses")))).where("error is null")
+    return n.select("addr_id", "type", format_street_line(C("type")).alias("street_line"))
+
+
+def q_parse_verified(s, d):
+    """The verifier hook: readings without a region or postal code are trusted less."""
+    def verifier(df: DataFrame) -> DataFrame:
+        return df.withColumn("confidence", F.when((C("region") == "") | (C("postal") == ""), F.least("confidence", F.lit(50))).otherwise(C("confidence")))
+
+    return parse_addresses(table(s, d, "raw_addresses"), "addr_id", options=with_options(CONTENT, verifier=verifier)).select("addr_id", "region", "postal", "confidence")
+
+
+def _ends(text: str) -> list[dict]:
+    """Stands for a parser service: the first word is the house number, the last one the postcode."""
+    words = re.findall(r"[^ \t\n\f\r,]+", text)
+    return [{"label": "house_number", "value": words[0]}, {"label": "postcode", "value": words[-1]}, {"label": "planet", "value": "x"}] if words else []
+
+
+def q_external_parser(s, d):
+    """Labels from a fetch function on the executors, read as address fields."""
+    df = address_from_labels(external_labels(table(s, d, "raw_addresses"), "addr_id", "raw", _ends))
+    return df.select("addr_id", "primary_number", "postal", "street_name", "error")
+
+
+def q_address_from_labels(s, d):
+    """Labels served from columns: units are recognised, other labels go to their fields."""
+    pair = lambda label, c: F.struct(F.lit(label).alias("label"), c.alias("value"))
+    labels = F.filter(F.array(pair("house", C("business_name")), pair("house_number", C("primary_number")), pair("po_box", C("street_name")), pair("unit", F.nullif(F.concat_ws(" ", "secondary_designator", "secondary_number"), F.lit(""))), pair("city", C("city")), pair("state", C("region")), pair("postcode", C("postal")), pair("country", C("country"))), lambda x: x["value"].isNotNull())
+    return address_from_labels(table(s, d, "addresses").select("addr_id", labels.alias("labels"))).select("addr_id", *FIELDS, "error")
+
+
 def _strip(**kw):
     return lambda: tx.strip_punctuation(C("street_name"), **kw)
 
@@ -198,7 +266,18 @@ def core_queries() -> dict[str, Query]:
         "normalize_address_matching": _normal(MATCHING),
         "format_address": q_format_address,
         "address_equals": q_address_equals,
-        "tokenize": q_tokenize,
+        "upper_unknown": _scalar("addresses", city=lambda: tx.upper_text(C("city")), region=lambda: tx.upper_text(C("region"))),
+        "diacritics_normalize": _scalar("addresses", **{m.value: (lambda m=m: tx.diacritics_normalize(C("business_name"), m)) for m in tx.DiacriticMode}),
+        "region_alternates": _scalar("addresses", alternates=lambda: look.region_alternates(C("region"))),
+        "suffix_info": _scalar("addresses", short=lambda: look.suffix_short(C("street_suffix")), primary=lambda: look.suffix_primary(C("street_suffix")), alternates=lambda: look.suffix_alternates(C("street_suffix"))),
+        "unit_normalize": _scalar("addresses", unit=lambda: look.unit_normalize(C("secondary_designator"))),
+        "normalize_address_fuzzy": _normal(with_options(CONTENT, fuzzy=True)),
+        "normalize_address_untyped": _normal(with_options(CONTENT, keep_type=False)),
+        "format_street_line": lambda s, d: q_format_address(s, d).select("addr_id", "street_line"),
+        "format_last_line": lambda s, d: q_format_address(s, d).select("addr_id", "last_line"),
+        "as_rural_route": q_as_rural_route,
+        "tokenize": q_tokenize, "token_join": q_token_join, "line_start": q_line_start, "claim_extent": q_claim_extent, "demote": q_demote, "claims_ending_at": q_claims_ending_at, "city_readings": q_city_readings,
+        "parse_verified": q_parse_verified, "external_parser": q_external_parser, "address_from_labels": q_address_from_labels,
         "line_end": q_line_end,
     }
     out |= {f"claims_{n}": _claims(n) for n in VOCABULARIES}

@@ -6,6 +6,7 @@ rules are a joined table of patterns.
 
 from __future__ import annotations
 
+from streetloom.functions import text as tx
 from streetloom.vocab import tables as v
 
 _W = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -55,6 +56,17 @@ def _substitute(x: str) -> str:
     return f"lower(regexp_replace(CASE WHEN {x} = '' THEN '' ELSE {latin} END, '\\p{{Mn}}+', '', 'g'))"
 
 
+def _transliterate(x: str) -> str:
+    """Letters by table, then marks off the Latin, Greek and Cyrillic ones, then the table again for what is left."""
+    def spelled(y: str) -> str:
+        for k, to in tx._SPELLED.items():
+            y = f"replace({y}, {_q(k)}, {_q(to)})"
+        return y
+
+    bare = f"list_aggregate(list_transform(string_split({spelled(x)}, ''), lambda c: CASE WHEN (ord(c) BETWEEN 192 AND 591) OR (ord(c) BETWEEN 7680 AND 8191) OR (ord(c) BETWEEN 880 AND 1327) THEN strip_accents(c) ELSE c END), 'string_agg', '')"
+    return f"lower(regexp_replace(CASE WHEN {x} = '' THEN '' ELSE {spelled(bare)} END, '\\p{{Mn}}+', '', 'g'))"
+
+
 def _zip_case(compact: str, other: str) -> str:
     ca = f"replace({compact}, '-', '')"
     return (f"CASE WHEN regexp_matches({compact}, '^[0-9]{{5}}$') THEN {compact} WHEN regexp_matches({compact}, '^[0-9]{{5}}-?[0-9]{{4}}$') THEN left({compact}, 5) || '-' || right({compact}, 4) "
@@ -256,6 +268,13 @@ best AS (SELECT key, val FROM (SELECT *, row_number() OVER (PARTITION BY key ORD
 SELECT q.addr_id, coalesce(t.{value}, best.val) AS {alias} FROM q LEFT JOIN {table} t ON t.k = q.key LEFT JOIN best ON best.key = q.key"""
 
 
+def _fuzzy_ctes(column: str, table: str, value: str, name: str) -> str:
+    """CTEs that end in name(k, value): the vocabulary and the nearest entry of each other key in addresses."""
+    return f"""{name}0 AS (SELECT DISTINCT {_key(_base(f"coalesce({column}, '')"))} AS key FROM addresses), {name}1 AS (SELECT key FROM {name}0 WHERE strlen(key) > 3 AND key NOT IN (SELECT k FROM {table})),
+{name}2 AS (SELECT d.key, t.k, t.{value} AS val, 1.0 - damerau_levenshtein(d.key, t.k)::DOUBLE / greatest(length(d.key), length(t.k)) AS sim FROM {name}1 d JOIN {table} t ON abs(length(d.key) - length(t.k)) <= 0.3 * greatest(length(d.key), length(t.k)) + 0.000000001),
+{name} AS (SELECT k, {value} FROM {table} UNION ALL SELECT key, val FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sim DESC, k) AS nth FROM {name}2 WHERE sim >= 0.7) WHERE nth = 1)"""
+
+
 def _candidates(kind: str, type_: str) -> str:
     """Line readings beside street claims that end before them; the parts' values are pivoted to fields."""
     test = {"po_box": _pobox, "rural_route": _rural, "military": _military}[kind]("txt")
@@ -315,6 +334,18 @@ def core_oracle_sql() -> dict[str, str]:
         "base_field": _scalar(f"{_base('a.city')} AS city, {_base('a.street_name')} AS street_name"),
         "join_non_empty": _scalar(_join("' '", "a.primary_number", "a.predirectional", "a.street_name", "a.street_suffix") + " AS joined"),
         "diacritics_substitute": _scalar(f"{_substitute('a.city')} AS city, {_substitute('a.street_name')} AS street_name"),
+        "diacritics_transliterate": _scalar(f"{_transliterate('a.city')} AS city"),
+        "diacritics_normalize": _scalar(f"a.business_name AS keep, {_substitute('a.business_name')} AS substitute, {_transliterate('a.business_name')} AS transliterate"),
+        "upper_unknown": _scalar(f"upper({_unknown('a.city')}) AS city, upper({_unknown('a.region')}) AS region"),
+        "region_alternates": _scalar("vr.alternates", _table("vr", "k,alternates", [(k, "|".join(v.spellings_of(v.regions())[r])) for k, r in v.regions().items()]), f"LEFT JOIN vr ON vr.k = {_key('a.region')}"),
+        "suffix_info": _scalar("vs.short, vs.primary_name AS \"primary\", vs.alternates", _table("vs", "k,primary_name,short,alternates", [(k, *x, "|".join(v.spellings_of(v.suffixes())[x])) for k, x in v.suffixes().items()]), f"LEFT JOIN vs ON vs.k = {_key('a.street_suffix')}"),
+        "unit_normalize": _scalar("vu.short AS unit", UNIT, "LEFT JOIN vu ON vu.k = upper(a.secondary_designator)"),
+        "token_join": f"WITH {_TOKENS} SELECT addr_id, line, string_agg(text, ' ' ORDER BY idx) AS text FROM tok GROUP BY rid, addr_id, line",
+        "line_start": f"WITH {_TOKENS} SELECT tok.addr_id, tok.idx, le.line_start FROM tok JOIN le ON le.rid = tok.rid AND le.line = tok.line",
+        "claim_extent": f"{_LINE_HEAD} SELECT addr_id, vocab, CAST(c_start AS INTEGER) AS start_at, CAST(c_end AS INTEGER) AS end_at, CAST(c_end - c_start AS INTEGER) AS length FROM cls",
+        "demote": f"{_LINE_HEAD} SELECT addr_id, vocab, CAST(c_start AS INTEGER) AS start_at, CAST(confidence AS INTEGER) AS confidence, CASE confidence WHEN 100 THEN 90 WHEN 90 THEN 75 ELSE 50 END AS down_1, CASE confidence WHEN 100 THEN 75 ELSE 50 END AS down_2, 50 AS down_3 FROM cls",
+        "claims_ending_at": f"{_LINE_HEAD} SELECT c.addr_id, c.vocab, CAST(c.c_start AS INTEGER) AS start_at, c.part, c.value FROM cls c JOIN cnt ON cnt.rid = c.rid AND c.c_end = cnt.n WHERE c.n_parts = 1",
+        "city_readings": f"{_LINE_HEAD} SELECT addr_id, CAST(start_at AS INTEGER) AS start_at, city, count(*) AS n_readings FROM lines WHERE shape <> 'postal' GROUP BY addr_id, start_at, city",
         "free_text_field": _scalar(f"{_free('a.city', 'sub')} AS city"),
         "region_normalize": _scalar("vr.short AS region", REGION, f"LEFT JOIN vr ON vr.k = {_key('a.region')}"),
         "region_info": _scalar("vr.short, vr.primary_name AS \"primary\", CASE WHEN vr.street THEN vr.primary_name END AS street_name", REGION, f"LEFT JOIN vr ON vr.k = {_key('a.region')}"),
@@ -346,6 +377,23 @@ def core_oracle_sql() -> dict[str, str]:
     for name, (mode, as_hash) in {"content": ("keep", False), "matching": ("sub", True)}.items():
         fields = ", ".join(f"CASE WHEN error IS NULL THEN {n} END AS {n}" for n in _FIELDS)
         out[f"normalize_address_{name}"] = f"WITH {_normal_ctes(mode, as_hash)} SELECT addr_id, {fields}, error FROM done"
+    out["normalize_address_untyped"] = out["normalize_address_content"]
+    near = _fuzzy_ctes("region", "vr", "short", "zr") + ", " + _fuzzy_ctes("street_suffix", "vs", "short", "zs")
+    content = _normal_ctes("keep", False)
+    loose = content.replace(_VOCAB + ",", f"{_VOCAB}, {near},").replace(f"LEFT JOIN vs x ON x.k = {_key('street_suffix0')}", f"LEFT JOIN zs x ON x.k = {_key('street_suffix0')}").replace(f"LEFT JOIN vr r ON r.k = {_key('region0')}", f"LEFT JOIN zr r ON r.k = {_key('region0')}")
+    fields = ", ".join(f"CASE WHEN error IS NULL THEN {n} END AS {n}" for n in _FIELDS)
+    out["normalize_address_fuzzy"] = f"WITH {loose} SELECT addr_id, {fields}, error FROM done"
+    rural = _join(_q(" "), "street_name", "primary_number", "secondary_designator", "secondary_number")
+    out["as_rural_route"] = f"WITH {content} SELECT addr_id, 'rural_route' AS type, {rural} AS street_line FROM done WHERE error IS NULL"
+    out["format_street_line"] = f"WITH {content} SELECT addr_id, {_STREET} AS street_line FROM done WHERE error IS NULL"
+    out["format_last_line"] = f"WITH {content} SELECT addr_id, {_LASTLINE} AS last_line FROM done WHERE error IS NULL"
+    words = r"regexp_extract_all(replace(upper(coalesce(raw, '')), 'FARM TO MARKET', 'FM'), '[^ \t\n\f\r,]+')"
+    out["external_parser"] = f"SELECT addr_id, coalesce({words}[1], '') AS primary_number, coalesce({words}[-1], '') AS postal, '' AS street_name, CAST(NULL AS VARCHAR) AS error FROM raw_addresses"
+    up = lambda c: f"coalesce(upper({c}), '')"
+    out["address_from_labels"] = f"""WITH {UNIT}, u0 AS (SELECT *, upper(nullif(concat_ws(' ', secondary_designator, secondary_number), '')) AS unit FROM addresses), u1 AS (SELECT *, regexp_extract(unit, '^([0-9A-Za-z_]+|[^0-9A-Za-z_ ]+)', 1) AS head FROM u0)
+SELECT addr_id, {up('business_name')} AS business_name, {up('primary_number')} AS primary_number, '' AS predirectional, {up('street_name')} AS street_name, '' AS street_suffix, '' AS postdirectional, coalesce(vu.short, '') AS secondary_designator, CASE WHEN vu.numbered THEN trim(substr(unit, length(head) + 1), ' ') ELSE '' END AS secondary_number,
+  {up('city')} AS city, {up('region')} AS region, {up('postal')} AS postal, {up('country')} AS country, CASE WHEN unit IS NOT NULL AND vu.short IS NULL THEN 'secondary_designator' END AS error FROM u1 LEFT JOIN vu ON vu.k = upper(head)"""
+    out["parse_verified"] = f"WITH {_parse_ctes()} SELECT addr_id, region, postal, CASE WHEN region = '' OR postal = '' THEN least(confidence, 50) ELSE confidence END AS confidence FROM parsed"
     content, match = _normal_ctes("keep", False), _normal_ctes("sub", True)
     out["format_address"] = f"WITH {content}, f AS (SELECT addr_id, business_name, {_STREET} AS street_line, {_LASTLINE} AS last_line FROM done WHERE error IS NULL) SELECT addr_id, street_line, last_line, {_join('chr(10)', 'business_name', 'street_line', 'last_line')} AS formatted, {_join(_q(' '), 'business_name', 'street_line', 'last_line')} AS single_line FROM f"
     out["match_keys"] = f"WITH {match}, f AS (SELECT business_name, {_STREET} AS street_line, {_LASTLINE} AS last_line FROM done WHERE error IS NULL) SELECT {_join(_q(' '), 'business_name', 'street_line', 'last_line')} AS match_key, count(*) AS n_rows FROM f GROUP BY 1"

@@ -1,58 +1,330 @@
 """Controlled vocabularies of US postal addressing.
 
-The word lists follow the public postal addressing standard; all lookups are derived from them by rule.
+One plain row for each entry; all lookups are derived from the rows. Most spellings are those of the public postal
+addressing standard; some misspellings (DELEWARE, NUNAVAT) are required because records hold them.
 """
 
 from __future__ import annotations
 
-# Street suffixes as "PRIMARY SHORT" (postal addressing standard, appendix of street suffixes).
-SUFFIXES = (
-    "ALLEY ALY, ANEX ANX, ARCADE ARC, AVENUE AVE, BAYOU BYU, BEACH BCH, BEND BND, BLUFF BLF, BLUFFS BLFS, BOTTOM BTM, BOULEVARD BLVD, BRANCH BR, BRIDGE BRG, BROOK BRK, BROOKS BRKS, BURG BG, BURGS BGS, BYPASS BYP, "
-    "CAMP CP, CANYON CYN, CAPE CPE, CAUSEWAY CSWY, CENTER CTR, CENTERS CTRS, CIRCLE CIR, CIRCLES CIRS, CLIFF CLF, CLIFFS CLFS, CLUB CLB, COMMON CMN, COMMONS CMNS, CORNER COR, CORNERS CORS, COURSE CRSE, COURT CT, COURTS CTS, COVE CV, COVES CVS, CREEK CRK, CRESCENT CRES, CREST CRST, CROSSING XING, CROSSROAD XRD, CROSSROADS XRDS, CURVE CURV, "
-    "DALE DL, DAM DM, DIVIDE DV, DRIVE DR, DRIVES DRS, ESTATE EST, ESTATES ESTS, EXPRESSWAY EXPY, EXTENSION EXT, EXTENSIONS EXTS, FALL FALL, FALLS FLS, FERRY FRY, FIELD FLD, FIELDS FLDS, FLAT FLT, FLATS FLTS, FORD FRD, FORDS FRDS, FOREST FRST, FORGE FRG, FORGES FRGS, FORK FRK, FORKS FRKS, FORT FT, FREEWAY FWY, "
-    "GARDEN GDN, GARDENS GDNS, GATEWAY GTWY, GLEN GLN, GLENS GLNS, GREEN GRN, GREENS GRNS, GROVE GRV, GROVES GRVS, HARBOR HBR, HARBORS HBRS, HAVEN HVN, HEIGHTS HTS, HIGHWAY HWY, HILL HL, HILLS HLS, HOLLOW HOLW, INLET INLT, ISLAND IS, ISLANDS ISS, ISLE ISLE, JUNCTION JCT, JUNCTIONS JCTS, "
-    "KEY KY, KEYS KYS, KNOLL KNL, KNOLLS KNLS, LAKE LK, LAKES LKS, LAND LAND, LANDING LNDG, LANE LN, LIGHT LGT, LIGHTS LGTS, LOAF LF, LOCK LCK, LOCKS LCKS, LODGE LDG, LOOP LOOP, MALL MALL, MANOR MNR, MANORS MNRS, MEADOW MDW, MEADOWS MDWS, MEWS MEWS, MILL ML, MILLS MLS, MISSION MSN, MOTORWAY MTWY, MOUNT MT, MOUNTAIN MTN, MOUNTAINS MTNS, NECK NCK, "
-    "ORCHARD ORCH, OVAL OVAL, OVERPASS OPAS, PARK PARK, PARKS PARKS, PARKWAY PKWY, PARKWAYS PKWYS, PASS PASS, PASSAGE PSGE, PATH PATH, PIKE PIKE, PINE PNE, PINES PNES, PLACE PL, PLAIN PLN, PLAINS PLNS, PLAZA PLZ, POINT PT, POINTS PTS, PORT PRT, PORTS PRTS, PRAIRIE PR, RADIAL RADL, RAMP RAMP, RANCH RNCH, RAPID RPD, RAPIDS RPDS, REST RST, RIDGE RDG, RIDGES RDGS, RIVER RIV, ROAD RD, ROADS RDS, ROUTE RTE, ROW ROW, RUE RUE, RUN RUN, "
-    "SHOAL SHL, SHOALS SHLS, SHORE SHR, SHORES SHRS, SKYWAY SKWY, SPRING SPG, SPRINGS SPGS, SPUR SPUR, SQUARE SQ, SQUARES SQS, STATION STA, STRAVENUE STRA, STREAM STRM, STREET ST, STREETS STS, SUMMIT SMT, TERRACE TERR, THROUGHWAY TRWY, TRACE TRCE, TRACK TRAK, TRAFFICWAY TRFY, TRAIL TRL, TRAILER TRLR, TUNNEL TUNL, TURNPIKE TPKE, "
-    "UNDERPASS UPAS, UNION UN, UNIONS UNS, VALLEY VLY, VALLEYS VLYS, VIADUCT VIA, VIEW VW, VIEWS VWS, VILLAGE VLG, VILLAGES VLGS, VILLE VL, VISTA VIS, WALK WALK, WALL WALL, WAY WAY, WAYS WAYS, WELL WL, WELLS WLS"
-)
-
-# Further spellings of a suffix, beside its primary and short form, which are spellings by rule.
-SUFFIX_SPELLINGS = (
-    "ALLEY: ALLEE ALLY; ANEX: ANNEX ANNX; AVENUE: AV AVEN AVENU AVN AVNUE; BAYOU: BAYOO; BLUFF: BLUF; BOTTOM: BOT BOTTM; BOULEVARD: BOUL BOULV; BRANCH: BRNCH; BRIDGE: BRDGE; BYPASS: BYPA BYPAS BYPS; CAMP: CMP; CANYON: CANYN CNYN; CAUSEWAY: CAUSWA; CENTER: CEN CENT CENTR CENTRE CNTER CNTR; CIRCLE: CIRC CIRCL CRCL CRCLE; "
-    "CRESCENT: CRSENT CRSNT; CROSSING: CRSSNG; DIVIDE: DIV DVD; DRIVE: DRIV DRV; EXPRESSWAY: EXP EXPR EXPRESS EXPW; EXTENSION: EXTN EXTNSN; FERRY: FRRY; FOREST: FORESTS; FORGE: FORG; FORT: FRT; FREEWAY: FRWY FRWAY FREEWY; GARDEN: GRDN GARDN GRDEN; GARDENS: GRDNS; GATEWAY: GTWAY GATWY GATEWY; GROVE: GROV; HARBOR: HARB HRBOR HARBR; HEIGHTS: HT; "
-    "HIGHWAY: HWAY HIWY HIWAY HIGHWY; HOLLOW: HLLW HOLLOWS HOLWS; ISLAND: ISLND; ISLANDS: ISLNDS; ISLE: ISLES; JUNCTION: JCTN JCTION JUNCTN JUNCTON; JUNCTIONS: JCTNS; KNOLL: KNOL; LANDING: LNDNG; LODGE: LDGE LODG; LOOP: LOOPS; MEADOWS: MEDOWS; MISSION: MISSN MSSN; MOUNT: MNT; MOUNTAIN: MNTN MTIN MNTAIN MOUNTIN; MOUNTAINS: MNTNS; ORCHARD: ORCHRD; OVAL: OVL; "
-    "OVERPASS: OVERPAS; PARK: PRK; PARKWAY: PKY PARKWY PKWAY; PATH: PATHS; PIKE: PIKES; PLAZA: PLZA; PRAIRIE: PRR PRAIRE; RADIAL: RAD RADIEL; RANCH: RNCHS RANCHES; RIDGE: RDGE; RIVER: RVR RIVR; SHORE: SHOAR; SHORES: SHOARS; SPRING: SPNG SPRNG; SPRINGS: SPNGS SPRNGS; SPUR: SPURS; SQUARE: SQR SQRE SQU; SQUARES: SQRS; STATION: STN STATN; "
-    "STRAVENUE: STRAV STRAVN STRVN STRVNUE STRAVEN; STREAM: STREME; STREET: STR STRT; SUMMIT: SUMIT SUMITT; TERRACE: TER; TRACE: TRACES; TRACK: TRK TRKS TRACKS; TRAIL: TRLS TRAILS; TRAILER: TRLRS; TUNNEL: TUNNL TUNLS TUNEL TUNNELS; TURNPIKE: TRNPK TURNPK; VALLEY: VLLY VALLY; VIADUCT: VDCT VIADCT; VILLAGE: VILL VILLG VILLAG VILLIAGE; VISTA: VIST VST VSTA; WALK: WALKS; WAY: WY"
-)
-
-# Regions as "SHORT PRIMARY"; '*' marks one that is no likely street name, '-' one whose primary name
-# isn't recognised.
-REGIONS = (
-    "AL ALABAMA, AK ALASKA, AS* AMERICAN SAMOA, AZ ARIZONA, AR ARKANSAS, CA CALIFORNIA, CO COLORADO, CT CONNECTICUT, DE DELAWARE, DC DISTRICT OF COLUMBIA, FM* FEDERATED STATES OF MICRONESIA, FL FLORIDA, GA GEORGIA, GU GUAM, HI HAWAII, ID IDAHO, IL ILLINOIS, IN INDIANA, IA IOWA, KS KANSAS, KY KENTUCKY, LA LOUISIANA, ME MAINE, "
-    "MH MARSHALL ISLANDS, MD MARYLAND, MA MASSACHUSETTS, MI MICHIGAN, MN MINNESOTA, MS MISSISSIPPI, MO MISSOURI, MT MONTANA, NE NEBRASKA, NV NEVADA, NH NEW HAMPSHIRE, NJ NEW JERSEY, NM NEW MEXICO, NY NEW YORK, NC NORTH CAROLINA, ND NORTH DAKOTA, MP NORTHERN MARIANA ISLANDS, OH OHIO, OK OKLAHOMA, OR OREGON, PW PALAU, PA PENNSYLVANIA, "
-    "PR PUERTO RICO, RI RHODE ISLAND, SC SOUTH CAROLINA, SD SOUTH DAKOTA, TN TENNESSEE, TX TEXAS, UT UTAH, VT VERMONT, VI VIRGIN ISLANDS, VA VIRGINIA, WA WASHINGTON, WV WEST VIRGINIA, WI WISCONSIN, WY WYOMING, "
-    "AB ALBERTA, BC BRITISH COLUMBIA, MB MANITOBA, NB NEW BRUNSWICK, NL* NEWFOUNDLAND AND LABRADOR, NT* NORTHWEST TERRITORIES, NS NOVA SCOTIA, NU*- NUNAVAT TERRITORIES, ON ONTARIO, PE* PRINCE EDWARD ISLAND, QC QUEBEC, SK SASKATCHEWAN, YT YUKON TERRITORY, "
-    "AE* ARMED FORCES EUROPE THE MIDDLE EAST AND CANADA, AP* ARMED FORCES PACIFIC, AA* ARMED FORCES AMERICA"
-)
-
-# Further spellings of a region.
-REGION_SPELLINGS = (
-    "CT: CONN; DE: DELEWARE; FM: MICRONESIA; MA: MASS; MN: MINN; NC: N CAROLINA; ND: N DAKOTA; PA: PENN; SC: S CAROLINA; SD: S DAKOTA; TN: TENN; VI: USVI, VIS, USA VI, VI USA; WV: W VIRGINIA; NL: NEWFOUNDLAND, LABRADOR; NT: NORTHWEST TERR, NW TERRITORIES, NW TERR; NU: NUNAVAT TERRITORY, NUNAVAT TERR; YT: YUKON TERR, YUKON; AE: ARMED FORCES EUROPE; AA: ARMED FORCES AMERICAS"
-)
-
-# Short forms of ISLANDS and ISLAND, and the names they end.
-ISLANDS = {"MH": ("MARSHALL",), "MP": ("NORTHERN MARIANA", "N MARIANA"), "VI": ("VIRGIN", "US VIRGIN")}
-ISLANDS_FORMS = ("ISLANDS", "IS", "ISL", "ISLS", "ISS", "ISLD")
-ISLAND = {"RI": "RHODE", "PE": "PRINCE EDWARD"}
-ISLAND_FORMS = ("IS", "ISL", "ISLD")
-
-# Directions, secondary units ('+' takes a number), countries, Puerto Rican street types and secondary
-# designators, military designators, post office box designators in order of precedence.
+# Street suffixes with their primary name, short form and further spellings.
+SUFFIXES = [
+    ("ALLEY", "ALY", "ALLEE ALLY"),
+    ("ANEX", "ANX", "ANNEX ANNX"),
+    ("ARCADE", "ARC", ""),
+    ("AVENUE", "AVE", "AV AVEN AVENU AVN AVNUE"),
+    ("BAYOU", "BYU", "BAYOO"),
+    ("BEACH", "BCH", ""),
+    ("BEND", "BND", ""),
+    ("BLUFF", "BLF", "BLUF"),
+    ("BLUFFS", "BLFS", ""),
+    ("BOTTOM", "BTM", "BOT BOTTM"),
+    ("BOULEVARD", "BLVD", "BOUL BOULV"),
+    ("BRANCH", "BR", "BRNCH"),
+    ("BRIDGE", "BRG", "BRDGE"),
+    ("BROOK", "BRK", ""),
+    ("BROOKS", "BRKS", ""),
+    ("BURG", "BG", ""),
+    ("BURGS", "BGS", ""),
+    ("BYPASS", "BYP", "BYPA BYPAS BYPS"),
+    ("CAMP", "CP", "CMP"),
+    ("CANYON", "CYN", "CANYN CNYN"),
+    ("CAPE", "CPE", ""),
+    ("CAUSEWAY", "CSWY", "CAUSWA"),
+    ("CENTER", "CTR", "CEN CENT CENTR CENTRE CNTER CNTR"),
+    ("CENTERS", "CTRS", ""),
+    ("CIRCLE", "CIR", "CIRC CIRCL CRCL CRCLE"),
+    ("CIRCLES", "CIRS", ""),
+    ("CLIFF", "CLF", ""),
+    ("CLIFFS", "CLFS", ""),
+    ("CLUB", "CLB", ""),
+    ("COMMON", "CMN", ""),
+    ("COMMONS", "CMNS", ""),
+    ("CORNER", "COR", ""),
+    ("CORNERS", "CORS", ""),
+    ("COURSE", "CRSE", ""),
+    ("COURT", "CT", ""),
+    ("COURTS", "CTS", ""),
+    ("COVE", "CV", ""),
+    ("COVES", "CVS", ""),
+    ("CREEK", "CRK", ""),
+    ("CRESCENT", "CRES", "CRSENT CRSNT"),
+    ("CREST", "CRST", ""),
+    ("CROSSING", "XING", "CRSSNG"),
+    ("CROSSROAD", "XRD", ""),
+    ("CROSSROADS", "XRDS", ""),
+    ("CURVE", "CURV", ""),
+    ("DALE", "DL", ""),
+    ("DAM", "DM", ""),
+    ("DIVIDE", "DV", "DIV DVD"),
+    ("DRIVE", "DR", "DRIV DRV"),
+    ("DRIVES", "DRS", ""),
+    ("ESTATE", "EST", ""),
+    ("ESTATES", "ESTS", ""),
+    ("EXPRESSWAY", "EXPY", "EXP EXPR EXPRESS EXPW"),
+    ("EXTENSION", "EXT", "EXTN EXTNSN"),
+    ("EXTENSIONS", "EXTS", ""),
+    ("FALL", "FALL", ""),
+    ("FALLS", "FLS", ""),
+    ("FERRY", "FRY", "FRRY"),
+    ("FIELD", "FLD", ""),
+    ("FIELDS", "FLDS", ""),
+    ("FLAT", "FLT", ""),
+    ("FLATS", "FLTS", ""),
+    ("FORD", "FRD", ""),
+    ("FORDS", "FRDS", ""),
+    ("FOREST", "FRST", "FORESTS"),
+    ("FORGE", "FRG", "FORG"),
+    ("FORGES", "FRGS", ""),
+    ("FORK", "FRK", ""),
+    ("FORKS", "FRKS", ""),
+    ("FORT", "FT", "FRT"),
+    ("FREEWAY", "FWY", "FRWY FRWAY FREEWY"),
+    ("GARDEN", "GDN", "GRDN GARDN GRDEN"),
+    ("GARDENS", "GDNS", "GRDNS"),
+    ("GATEWAY", "GTWY", "GTWAY GATWY GATEWY"),
+    ("GLEN", "GLN", ""),
+    ("GLENS", "GLNS", ""),
+    ("GREEN", "GRN", ""),
+    ("GREENS", "GRNS", ""),
+    ("GROVE", "GRV", "GROV"),
+    ("GROVES", "GRVS", ""),
+    ("HARBOR", "HBR", "HARB HRBOR HARBR"),
+    ("HARBORS", "HBRS", ""),
+    ("HAVEN", "HVN", ""),
+    ("HEIGHTS", "HTS", "HT"),
+    ("HIGHWAY", "HWY", "HWAY HIWY HIWAY HIGHWY"),
+    ("HILL", "HL", ""),
+    ("HILLS", "HLS", ""),
+    ("HOLLOW", "HOLW", "HLLW HOLLOWS HOLWS"),
+    ("INLET", "INLT", ""),
+    ("ISLAND", "IS", "ISLND"),
+    ("ISLANDS", "ISS", "ISLNDS"),
+    ("ISLE", "ISLE", "ISLES"),
+    ("JUNCTION", "JCT", "JCTN JCTION JUNCTN JUNCTON"),
+    ("JUNCTIONS", "JCTS", "JCTNS"),
+    ("KEY", "KY", ""),
+    ("KEYS", "KYS", ""),
+    ("KNOLL", "KNL", "KNOL"),
+    ("KNOLLS", "KNLS", ""),
+    ("LAKE", "LK", ""),
+    ("LAKES", "LKS", ""),
+    ("LAND", "LAND", ""),
+    ("LANDING", "LNDG", "LNDNG"),
+    ("LANE", "LN", ""),
+    ("LIGHT", "LGT", ""),
+    ("LIGHTS", "LGTS", ""),
+    ("LOAF", "LF", ""),
+    ("LOCK", "LCK", ""),
+    ("LOCKS", "LCKS", ""),
+    ("LODGE", "LDG", "LDGE LODG"),
+    ("LOOP", "LOOP", "LOOPS"),
+    ("MALL", "MALL", ""),
+    ("MANOR", "MNR", ""),
+    ("MANORS", "MNRS", ""),
+    ("MEADOW", "MDW", ""),
+    ("MEADOWS", "MDWS", "MEDOWS"),
+    ("MEWS", "MEWS", ""),
+    ("MILL", "ML", ""),
+    ("MILLS", "MLS", ""),
+    ("MISSION", "MSN", "MISSN MSSN"),
+    ("MOTORWAY", "MTWY", ""),
+    ("MOUNT", "MT", "MNT"),
+    ("MOUNTAIN", "MTN", "MNTN MTIN MNTAIN MOUNTIN"),
+    ("MOUNTAINS", "MTNS", "MNTNS"),
+    ("NECK", "NCK", ""),
+    ("ORCHARD", "ORCH", "ORCHRD"),
+    ("OVAL", "OVAL", "OVL"),
+    ("OVERPASS", "OPAS", "OVERPAS"),
+    ("PARK", "PARK", "PRK"),
+    ("PARKS", "PARKS", ""),
+    ("PARKWAY", "PKWY", "PKY PARKWY PKWAY"),
+    ("PARKWAYS", "PKWYS", ""),
+    ("PASS", "PASS", ""),
+    ("PASSAGE", "PSGE", ""),
+    ("PATH", "PATH", "PATHS"),
+    ("PIKE", "PIKE", "PIKES"),
+    ("PINE", "PNE", ""),
+    ("PINES", "PNES", ""),
+    ("PLACE", "PL", ""),
+    ("PLAIN", "PLN", ""),
+    ("PLAINS", "PLNS", ""),
+    ("PLAZA", "PLZ", "PLZA"),
+    ("POINT", "PT", ""),
+    ("POINTS", "PTS", ""),
+    ("PORT", "PRT", ""),
+    ("PORTS", "PRTS", ""),
+    ("PRAIRIE", "PR", "PRR PRAIRE"),
+    ("RADIAL", "RADL", "RAD RADIEL"),
+    ("RAMP", "RAMP", ""),
+    ("RANCH", "RNCH", "RNCHS RANCHES"),
+    ("RAPID", "RPD", ""),
+    ("RAPIDS", "RPDS", ""),
+    ("REST", "RST", ""),
+    ("RIDGE", "RDG", "RDGE"),
+    ("RIDGES", "RDGS", ""),
+    ("RIVER", "RIV", "RVR RIVR"),
+    ("ROAD", "RD", ""),
+    ("ROADS", "RDS", ""),
+    ("ROUTE", "RTE", ""),
+    ("ROW", "ROW", ""),
+    ("RUE", "RUE", ""),
+    ("RUN", "RUN", ""),
+    ("SHOAL", "SHL", ""),
+    ("SHOALS", "SHLS", ""),
+    ("SHORE", "SHR", "SHOAR"),
+    ("SHORES", "SHRS", "SHOARS"),
+    ("SKYWAY", "SKWY", ""),
+    ("SPRING", "SPG", "SPNG SPRNG"),
+    ("SPRINGS", "SPGS", "SPNGS SPRNGS"),
+    ("SPUR", "SPUR", "SPURS"),
+    ("SQUARE", "SQ", "SQR SQRE SQU"),
+    ("SQUARES", "SQS", "SQRS"),
+    ("STATION", "STA", "STN STATN"),
+    ("STRAVENUE", "STRA", "STRAV STRAVN STRVN STRVNUE STRAVEN"),
+    ("STREAM", "STRM", "STREME"),
+    ("STREET", "ST", "STR STRT"),
+    ("STREETS", "STS", ""),
+    ("SUMMIT", "SMT", "SUMIT SUMITT"),
+    ("TERRACE", "TERR", "TER"),
+    ("THROUGHWAY", "TRWY", ""),
+    ("TRACE", "TRCE", "TRACES"),
+    ("TRACK", "TRAK", "TRK TRKS TRACKS"),
+    ("TRAFFICWAY", "TRFY", ""),
+    ("TRAIL", "TRL", "TRLS TRAILS"),
+    ("TRAILER", "TRLR", "TRLRS"),
+    ("TUNNEL", "TUNL", "TUNNL TUNLS TUNEL TUNNELS"),
+    ("TURNPIKE", "TPKE", "TRNPK TURNPK"),
+    ("UNDERPASS", "UPAS", ""),
+    ("UNION", "UN", ""),
+    ("UNIONS", "UNS", ""),
+    ("VALLEY", "VLY", "VLLY VALLY"),
+    ("VALLEYS", "VLYS", ""),
+    ("VIADUCT", "VIA", "VDCT VIADCT"),
+    ("VIEW", "VW", ""),
+    ("VIEWS", "VWS", ""),
+    ("VILLAGE", "VLG", "VILL VILLG VILLAG VILLIAGE"),
+    ("VILLAGES", "VLGS", ""),
+    ("VILLE", "VL", ""),
+    ("VISTA", "VIS", "VIST VST VSTA"),
+    ("WALK", "WALK", "WALKS"),
+    ("WALL", "WALL", ""),
+    ("WAY", "WAY", "WY"),
+    ("WAYS", "WAYS", ""),
+    ("WELL", "WL", ""),
+    ("WELLS", "WLS", ""),
+]
+
+# Regions with their short form, primary name, whether it may be part of a street's name, country, and
+# all spellings that are recognised beside the short form.
+REGIONS = [
+    ("AL", "ALABAMA", True, "US", ["ALABAMA"]),
+    ("AK", "ALASKA", True, "US", ["ALASKA"]),
+    ("AS", "AMERICAN SAMOA", False, "US", ["AMERICAN SAMOA"]),
+    ("AZ", "ARIZONA", True, "US", ["ARIZONA"]),
+    ("AR", "ARKANSAS", True, "US", ["ARKANSAS"]),
+    ("CA", "CALIFORNIA", True, "US", ["CALIFORNIA"]),
+    ("CO", "COLORADO", True, "US", ["COLORADO"]),
+    ("CT", "CONNECTICUT", True, "US", ["CONNECTICUT", "CONN"]),
+    ("DE", "DELAWARE", True, "US", ["DELAWARE", "DELEWARE"]),
+    ("DC", "DISTRICT OF COLUMBIA", True, "US", ["DISTRICT OF COLUMBIA"]),
+    ("FM", "FEDERATED STATES OF MICRONESIA", False, "US", ["FEDERATED STATES OF MICRONESIA", "MICRONESIA"]),
+    ("FL", "FLORIDA", True, "US", ["FLORIDA"]),
+    ("GA", "GEORGIA", True, "US", ["GEORGIA"]),
+    ("GU", "GUAM", True, "US", ["GUAM"]),
+    ("HI", "HAWAII", True, "US", ["HAWAII"]),
+    ("ID", "IDAHO", True, "US", ["IDAHO"]),
+    ("IL", "ILLINOIS", True, "US", ["ILLINOIS"]),
+    ("IN", "INDIANA", True, "US", ["INDIANA"]),
+    ("IA", "IOWA", True, "US", ["IOWA"]),
+    ("KS", "KANSAS", True, "US", ["KANSAS"]),
+    ("KY", "KENTUCKY", True, "US", ["KENTUCKY"]),
+    ("LA", "LOUISIANA", True, "US", ["LOUISIANA"]),
+    ("ME", "MAINE", True, "US", ["MAINE"]),
+    ("MH", "MARSHALL ISLANDS", True, "US", ["MARSHALL ISLANDS", "MARSHALL IS", "MARSHALL ISL", "MARSHALL ISLS", "MARSHALL ISS", "MARSHALL ISLD"]),
+    ("MD", "MARYLAND", True, "US", ["MARYLAND"]),
+    ("MA", "MASSACHUSETTS", True, "US", ["MASSACHUSETTS", "MASS"]),
+    ("MI", "MICHIGAN", True, "US", ["MICHIGAN"]),
+    ("MN", "MINNESOTA", True, "US", ["MINNESOTA", "MINN"]),
+    ("MS", "MISSISSIPPI", True, "US", ["MISSISSIPPI"]),
+    ("MO", "MISSOURI", True, "US", ["MISSOURI"]),
+    ("MT", "MONTANA", True, "US", ["MONTANA"]),
+    ("NE", "NEBRASKA", True, "US", ["NEBRASKA"]),
+    ("NV", "NEVADA", True, "US", ["NEVADA"]),
+    ("NH", "NEW HAMPSHIRE", True, "US", ["NEW HAMPSHIRE"]),
+    ("NJ", "NEW JERSEY", True, "US", ["NEW JERSEY"]),
+    ("NM", "NEW MEXICO", True, "US", ["NEW MEXICO"]),
+    ("NY", "NEW YORK", True, "US", ["NEW YORK"]),
+    ("NC", "NORTH CAROLINA", True, "US", ["NORTH CAROLINA", "N CAROLINA"]),
+    ("ND", "NORTH DAKOTA", True, "US", ["NORTH DAKOTA", "N DAKOTA"]),
+    ("MP", "NORTHERN MARIANA ISLANDS", True, "US", ["NORTHERN MARIANA ISLANDS", "NORTHERN MARIANA IS", "NORTHERN MARIANA ISL", "NORTHERN MARIANA ISLS", "NORTHERN MARIANA ISS", "NORTHERN MARIANA ISLD", "N MARIANA ISLANDS", "N MARIANA IS", "N MARIANA ISL", "N MARIANA ISLS", "N MARIANA ISS", "N MARIANA ISLD"]),
+    ("OH", "OHIO", True, "US", ["OHIO"]),
+    ("OK", "OKLAHOMA", True, "US", ["OKLAHOMA"]),
+    ("OR", "OREGON", True, "US", ["OREGON"]),
+    ("PW", "PALAU", True, "US", ["PALAU"]),
+    ("PA", "PENNSYLVANIA", True, "US", ["PENNSYLVANIA", "PENN"]),
+    ("PR", "PUERTO RICO", True, "US", ["PUERTO RICO"]),
+    ("RI", "RHODE ISLAND", True, "US", ["RHODE ISLAND", "RHODE IS", "RHODE ISL", "RHODE ISLD"]),
+    ("SC", "SOUTH CAROLINA", True, "US", ["SOUTH CAROLINA", "S CAROLINA"]),
+    ("SD", "SOUTH DAKOTA", True, "US", ["SOUTH DAKOTA", "S DAKOTA"]),
+    ("TN", "TENNESSEE", True, "US", ["TENNESSEE", "TENN"]),
+    ("TX", "TEXAS", True, "US", ["TEXAS"]),
+    ("UT", "UTAH", True, "US", ["UTAH"]),
+    ("VT", "VERMONT", True, "US", ["VERMONT"]),
+    ("VI", "VIRGIN ISLANDS", True, "US", ["VIRGIN ISLANDS", "USVI", "VIS", "USA VI", "VI USA", "VIRGIN IS", "VIRGIN ISL", "VIRGIN ISLS", "VIRGIN ISS", "VIRGIN ISLD", "US VIRGIN ISLANDS", "US VIRGIN IS", "US VIRGIN ISL", "US VIRGIN ISLS", "US VIRGIN ISS", "US VIRGIN ISLD"]),
+    ("VA", "VIRGINIA", True, "US", ["VIRGINIA"]),
+    ("WA", "WASHINGTON", True, "US", ["WASHINGTON"]),
+    ("WV", "WEST VIRGINIA", True, "US", ["WEST VIRGINIA", "W VIRGINIA"]),
+    ("WI", "WISCONSIN", True, "US", ["WISCONSIN"]),
+    ("WY", "WYOMING", True, "US", ["WYOMING"]),
+    ("AB", "ALBERTA", True, "Canada", ["ALBERTA"]),
+    ("BC", "BRITISH COLUMBIA", True, "Canada", ["BRITISH COLUMBIA"]),
+    ("MB", "MANITOBA", True, "Canada", ["MANITOBA"]),
+    ("NB", "NEW BRUNSWICK", True, "Canada", ["NEW BRUNSWICK"]),
+    ("NL", "NEWFOUNDLAND AND LABRADOR", False, "Canada", ["NEWFOUNDLAND AND LABRADOR", "NEWFOUNDLAND", "LABRADOR"]),
+    ("NT", "NORTHWEST TERRITORIES", False, "Canada", ["NORTHWEST TERRITORIES", "NORTHWEST TERR", "NW TERRITORIES", "NW TERR"]),
+    ("NS", "NOVA SCOTIA", True, "Canada", ["NOVA SCOTIA"]),
+    ("NU", "NUNAVAT TERRITORIES", False, "Canada", ["NUNAVAT TERRITORY", "NUNAVAT TERR"]),
+    ("ON", "ONTARIO", True, "Canada", ["ONTARIO"]),
+    ("PE", "PRINCE EDWARD ISLAND", False, "Canada", ["PRINCE EDWARD ISLAND", "PRINCE EDWARD IS", "PRINCE EDWARD ISL", "PRINCE EDWARD ISLD"]),
+    ("QC", "QUEBEC", True, "Canada", ["QUEBEC"]),
+    ("SK", "SASKATCHEWAN", True, "Canada", ["SASKATCHEWAN"]),
+    ("YT", "YUKON TERRITORY", True, "Canada", ["YUKON TERRITORY", "YUKON TERR", "YUKON"]),
+    ("AE", "ARMED FORCES EUROPE THE MIDDLE EAST AND CANADA", False, "overseas", ["ARMED FORCES EUROPE THE MIDDLE EAST AND CANADA", "ARMED FORCES EUROPE"]),
+    ("AP", "ARMED FORCES PACIFIC", False, "overseas", ["ARMED FORCES PACIFIC"]),
+    ("AA", "ARMED FORCES AMERICA", False, "overseas", ["ARMED FORCES AMERICA", "ARMED FORCES AMERICAS"]),
+]
+
+# Secondary units with their short form and whether they take a number.
+UNITS = [
+    ("APARTMENT", "APT", True),
+    ("BASEMENT", "BSMT", False),
+    ("BUILDING", "BLDG", True),
+    ("DEPARTMENT", "DEPT", True),
+    ("FLOOR", "FL", True),
+    ("FRONT", "FRNT", False),
+    ("HANGER", "HNGR", True),
+    ("KEY", "KEY", True),
+    ("LOBBY", "LBBY", False),
+    ("LOT", "LOT", True),
+    ("LOWER", "LOWR", False),
+    ("OFFICE", "OFC", False),
+    ("PENTHOUSE", "PH", False),
+    ("PIER", "PIER", True),
+    ("REAR", "REAR", False),
+    ("ROOM", "RM", True),
+    ("SIDE", "SIDE", False),
+    ("SLIP", "SLIP", True),
+    ("SPACE", "SPC", True),
+    ("STOP", "STOP", True),
+    ("SUITE", "STE", True),
+    ("TRAILER", "TRLR", True),
+    ("UNIT", "UNIT", True),
+    ("UPPER", "UPPR", False),
+]
+
+# Directions, countries, Puerto Rican street types and secondary designators, military designators, post
+# office box designators in order of precedence.
 DIRECTIONS = {"NORTH": "N", "EAST": "E", "SOUTH": "S", "WEST": "W", "NORTHEAST": "NE", "SOUTHEAST": "SE", "NORTHWEST": "NW", "SOUTHWEST": "SW"}
-UNITS = (
-    "APARTMENT APT+, BASEMENT BSMT, BUILDING BLDG+, DEPARTMENT DEPT+, FLOOR FL+, FRONT FRNT, HANGER HNGR+, KEY KEY+, LOBBY LBBY, LOT LOT+, LOWER LOWR, OFFICE OFC, PENTHOUSE PH, PIER PIER+, REAR REAR, ROOM RM+, SIDE SIDE, SLIP SLIP+, SPACE SPC+, STOP STOP+, SUITE STE+, TRAILER TRLR+, UNIT UNIT+, UPPER UPPR"
-)
 COUNTRIES = {"UNITED STATES": "", "USA": "", "US": "", "CA": "CANADA", "CANADA": "CANADA", "MX": "MEXICO", "MEXICO": "MEXICO"}
 PR_STREET_TYPES = {"AVENIDA": "AVE", "CALLE": "CLL", "CAMINITO": "CMT", "CAMINO": "CAM", "CERRADA": "CER", "CIRCULO": "CIR", "ENTRADA": "ENT", "PASEO": "PSO", "PLACITA": "PLA", "RANCHO": "RCH", "VEREDA": "VER", "VISTA": "VIS"}
 PR_SECONDARY = {
@@ -69,44 +341,28 @@ RURAL_DESIGNATORS = ("RURAL ROUTE", "RFD ROUTE", "RFD", "RR", "RD")
 
 
 def suffixes() -> dict[str, tuple[str, str]]:
-    """Spelling to (primary, short). A spelling belongs to the suffix whose short form it leads to."""
-    pairs = [tuple(x.split()) for x in SUFFIXES.split(", ")]
-    by_short = {short: (primary, short) for primary, short in pairs}
-    short_of = {p: s for p, s in pairs}
-    out = {p: by_short[s] for p, s in pairs} | by_short
-    for entry in SUFFIX_SPELLINGS.split("; "):
-        primary, spellings = entry.split(": ")
-        out |= {x: by_short[short_of[primary]] for x in spellings.split()}
-    return out
+    """Spelling to (primary, short): further spellings, then primary names, then short forms; later ones win."""
+    out = {x: (primary, short) for primary, short, more in SUFFIXES for x in more.split()}
+    out |= {primary: (primary, short) for primary, short, _ in SUFFIXES}
+    return out | {short: (primary, short) for primary, short, _ in SUFFIXES}
 
 
 def regions() -> dict[str, tuple[str, str, bool]]:
     """Spelling to (primary, short, may be a street name)."""
-    out: dict[str, tuple[str, str, bool]] = {}
-    rows: dict[str, tuple[str, str, bool]] = {}
-    for entry in REGIONS.split(", "):
-        head, primary = entry.split(" ", 1)
-        short = head.rstrip("*-")
-        row = rows[short] = (primary, short, "*" not in head)
-        out[short] = row
-        if "-" not in head:
-            out[primary] = row
-    for entry in REGION_SPELLINGS.split("; "):
-        short, spellings = entry.split(": ")
-        out |= {x: rows[short] for x in spellings.split(", ")}
-    out |= {f"{name} {form}": rows[short] for short, names in ISLANDS.items() for name in names for form in ISLANDS_FORMS}
-    out |= {f"{name} {form}": rows[short] for short, name in ISLAND.items() for form in ISLAND_FORMS}
-    return out
+    return {k: (primary, short, street) for short, primary, street, _, spellings in REGIONS for k in [short, *spellings]}
+
+
+def spellings_of(table: dict) -> dict:
+    """Entry to all spellings that lead to it, in order."""
+    out: dict = {}
+    for k, entry in table.items():
+        out.setdefault(entry, []).append(k)
+    return {entry: sorted(ks) for entry, ks in out.items()}
 
 
 def units() -> dict[str, tuple[str, bool]]:
     """Spelling to (short, takes a number)."""
-    out: dict[str, tuple[str, bool]] = {"#": ("#", True)}
-    for entry in UNITS.split(", "):
-        primary, short = entry.split()
-        row = (short.rstrip("+"), short.endswith("+"))
-        out |= {primary: row, row[0]: row}
-    return out
+    return {"#": ("#", True)} | {k: (short, numbered) for primary, short, numbered in UNITS for k in (primary, short)}
 
 
 def directions_short() -> dict[str, str]:
@@ -119,7 +375,6 @@ def directions_full() -> dict[str, str]:
 
 def state_prefixes() -> dict[str, str]:
     """Names and codes that may open a highway's name, to codes: states and possessions, but not FM (farm to market)."""
-    rows = list({v[1]: v for v in regions().values()}.values())
-    domestic = rows[: [r[1] for r in rows].index("AB")]
-    out = {primary: short for primary, short, _ in domestic} | {short: short for _, short, _ in domestic if short != "FM"}
+    domestic = [(short, primary) for short, primary, _, country, _ in REGIONS if country == "US"]
+    out = {primary: short for short, primary in domestic} | {short: short for short, _ in domestic if short != "FM"}
     return out | {"MICRONESIA": "FM"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from streetloom.functions.spans import demote, gaps
 from streetloom.operators.claims import claim_rows, with_claims, with_tokens
 from streetloom.operators.components import components
-from streetloom.operators.lastline import FIELDS, assign, candidate_rows, line_rows
+from streetloom.operators.lastline import FIELDS, assign, candidate_rows, line_rows, rejected_claims, rejections
 from streetloom.operators.normalize import CONTENT, MATCHING, format_address, matching, normalize_address, with_options
 from streetloom.operators.parse import LABELS, address_from_labels, external_labels, normalize_text, parse_addresses
 from streetloom.operators.skew import join_counted
@@ -57,6 +57,16 @@ def test_readings_are_well_formed(spark):
     assert {r["addr_id"] for r in rows} == {1, 2, 3, 4}
 
 
+def test_rejected_claims(spark):
+    lines = line_rows(with_claims(with_tokens(raw(spark)))).where("addr_id = 1")
+    got = {(r["line"]["shape"], r["line"]["start"], r["claim"]["vocab"], r["claim"]["start"]) for r in rejected_claims(lines).collect()}
+    # the suffix's and the direction's claims stand before the line; a postal code that is no member is ruled out
+    assert ("city_region", 4, "postal", 7) not in got and all(start >= line - 8 for _, line, _, start in got)
+    for r in lines.select("line", rejections(F.col("claims"), F.col("line")).alias("out"), "claims").collect():
+        inside = {i for i, c in enumerate(r["claims"]) if c["parts"] and c["start"] < r["line"]["start"] + r["line"]["length"] and r["line"]["start"] < c["end"]}
+        assert set(r["out"]) == inside - set(r["line"]["members"])
+
+
 def test_candidates(spark):
     rows = candidate_rows(line_rows(with_claims(with_tokens(raw(spark))))).select("addr_id", "type", "confidence", *assign(F.col("parts"))).collect()
     best = {}
@@ -98,6 +108,10 @@ def test_parse(spark):
     assert len(got) == len(RAWS)
     assert (got[1]["primary_number"], got[1]["street_suffix"], got[1]["city"], got[1]["region"], got[1]["postal"]) == ("8011", "AVE", "WEST JORDAN", "UT", "84088")
     assert got[2]["type"] == "military" and got[7]["confidence"] is None and got[5]["city"] == ""
+    # rows with one id are parsed each, and nothing is shuffled
+    twice = spark.createDataFrame([(1, RAWS[1]), (1, RAWS[2])], "addr_id long, raw string")
+    assert {r["city"] for r in parse_addresses(twice, "addr_id").collect()} == {"WEST JORDAN", "APO"}
+    assert "Exchange" not in parse_addresses(raw(spark), "addr_id")._jdf.queryExecution().executedPlan().toString()
     text = {r["addr_id"]: r["formatted"] for r in normalize_text(raw(spark), "addr_id", options=with_options(CONTENT, single_line=True)).collect()}
     assert text[4] == "PO BOX 12 DENVER 80201"
 

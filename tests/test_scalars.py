@@ -19,7 +19,9 @@ TABLES = {
     "unknown": (tx.normalize_unknown, [("UnKnOwN", ""), ("UNKNOWN CITY", "UNKNOWN CITY"), (None, None)]),
     "base_field": (tx.base_field, [("  unknown ", ""), (" salt  lake ", "SALT LAKE")]),
     "substitute": (tx.diacritics_substitute, [("José Ÿ Š", "jose y s"), ("ÆÐØÞßŒ", "aeopso"), ("é", "e"), ("Ǽ", "a")]),
-    "transliterate": (tx.diacritics_transliterate, [("Æ", "ae"), ("Þór", "thor"), ("Straße", "strasse"), ("Œuvre", "oeuvre"), ("Ð", "d")]),
+    "transliterate": (tx.diacritics_transliterate, [("Æ", "ae"), ("Þór", "thor"), ("Straße", "strasse"), ("Œuvre", "oeuvre"), ("Ð", "d"), ("Йошка Щукин", "yoshka shchukin"), ("Ηλίας", "ilias"), ("山", "山")]),
+    "region_alternates": (look.region_alternates, [("rhode island", "RHODE IS|RHODE ISL|RHODE ISLAND|RHODE ISLD|RI"), ("zz", None)]),
+    "suffix_alternates": (look.suffix_alternates, [("Ave", "AV|AVE|AVEN|AVENU|AVENUE|AVN|AVNUE"), ("x1", None)]),
     "region": (look.region_short, [("N. Carolina", "NC"), ("2ND", None), ("puerto rico", "PR"), ("Nunavut", None), ("nunavat terr", "NU"), ("zz", None), (None, None)]),
     "suffix_primary": (look.suffix_primary, [("PRAIRIE", "PRAIRIE"), ("ave.", "AVENUE"), ("1ST", None), ("FORESTS", "FOREST"), ("RIVR", "RIVER")]),
     "suffix_short": (look.suffix_short, [("PRAIRIE", "PR"), ("Avenue", "AVE"), ("Bypas", "BYP")]),
