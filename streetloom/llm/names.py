@@ -444,11 +444,11 @@ def link_names(df: DataFrame, id_col: str, name: str = "business_name", city: st
     groups = staged(components(edges), "name-groups")
     entity = strong.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("entity"))
 
-    # names that say too little join the one entity they fit
-    def open_blocks(df_city: str) -> Column:
-        return F.array(F.concat(F.lit("<"), F.substring(df_city, 1, 4)), F.concat(F.lit(">"), F.substring(df_city, -4, 4)))
-
-    nearby = _candidates(strong, weak.where("city <> ''"), edits, open_blocks("city"), open_blocks("city"))
+    # names that say too little join the one entity they fit; a name without a kind may fit any
+    weak_tags = (F.when(F.col("kind") == "person", F.array_distinct(F.transform("given", lambda g: F.concat(F.lit("person|"), F.substring(g, 1, 1)))))
+                 .when(F.col("kind") == "", F.array(F.lit("any"))).otherwise(F.col("tags")))
+    near_strong, near_weak = (F.flatten(F.transform(x, ends)) for x in (F.concat("tags", F.array(F.lit("any"))), weak_tags))
+    nearby = _candidates(strong, weak.where("city <> ''"), edits, near_strong, near_weak)
     placeless = weak.where("city = ''").select(F.col("id").alias("b"), F.explode(F.array("core")).alias("core"))
     anywhere = strong.select(F.col("id").alias("a"), "core").join(placeless, "core").select("a", "b")
     in_region = F.transform("tags", lambda x: F.concat_ws("|", F.when(F.col("kind") == "person", "person").otherwise(x), "region"))
