@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, as in tests, a local one, on a local
+    master only: a machine's own folder would not be seen by the other executors of a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="streetloom-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -24,7 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/streetloom/{name}-{uuid.uuid4().hex}"
+    """A new place in this application's folder, which is deleted when the application ends."""
+    run = f"{shared_dir(spark)}/streetloom-{spark.sparkContext.applicationId}"
+    if run not in _OWN:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _OWN[run] = run
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
