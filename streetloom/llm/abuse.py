@@ -308,7 +308,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pairs:
     return w
 
 
-def train(labelled: list[tuple[str, int]], groups: list[str] | None = None, rounds: int = 3, folds: int = 4, fair: float = 0.2, seed_only: bool = False) -> AbuseModel:
+def train(labelled: list[tuple[str, int]], groups: list[str] | None = None, rounds: int = 2, folds: int = 10, fair: float = 0.2, seed_only: bool = False) -> AbuseModel:
     """Fit on (text, label) pairs; labels may be wrong now and then.
 
     Everything a document is judged by while training comes from the other folds: the first odds, the sentence that
