@@ -64,7 +64,10 @@ _PLACE = {"st": "saint", "ste": "saint", "ft": "fort", "mt": "mount", "n": "nort
 
 
 def fold(text: str | None) -> str:
-    t = unicodedata.normalize("NFKD", (text or "").lower())
+    t = (text or "").lower()
+    if t.isascii():
+        return t
+    t = unicodedata.normalize("NFKD", t)
     t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
     return t.replace("’", "'").replace("ß", "ss").replace("œ", "oe").replace("æ", "ae").replace("ø", "o").replace("ł", "l").replace("þ", "th").replace("ð", "d")
 
