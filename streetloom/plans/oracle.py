@@ -393,6 +393,14 @@ def core_oracle_sql() -> dict[str, str]:
     out["address_from_labels"] = f"""WITH {UNIT}, u0 AS (SELECT *, upper(nullif(concat_ws(' ', secondary_designator, secondary_number), '')) AS unit FROM addresses), u1 AS (SELECT *, regexp_extract(unit, '^([0-9A-Za-z_]+|[^0-9A-Za-z_ ]+)', 1) AS head FROM u0)
 SELECT addr_id, {up('business_name')} AS business_name, {up('primary_number')} AS primary_number, '' AS predirectional, {up('street_name')} AS street_name, '' AS street_suffix, '' AS postdirectional, coalesce(vu.short, '') AS secondary_designator, CASE WHEN vu.numbered THEN trim(substr(unit, length(head) + 1), ' ') ELSE '' END AS secondary_number,
   {up('city')} AS city, {up('region')} AS region, {up('postal')} AS postal, {up('country')} AS country, CASE WHEN unit IS NOT NULL AND vu.short IS NULL THEN 'secondary_designator' END AS error FROM u1 LEFT JOIN vu ON vu.k = upper(head)"""
+    road = "trim(regexp_replace(upper(concat_ws(' ', predirectional, street_name, street_suffix, postdirectional)), '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ')"
+    out["split_road"] = f"""WITH {_VOCAB}, r0 AS (SELECT addr_id, {road} AS road FROM addresses), r1 AS (SELECT DISTINCT road, string_split(road, ' ') AS w FROM r0), r2 AS (SELECT *, len(w) AS n, coalesce(w[1], '') AS a1, coalesce(w[2], '') AS a2, coalesce(w[-1], '') AS z1, CASE WHEN len(w) > 1 THEN w[-2] ELSE '' END AS z2 FROM r1),
+m AS (SELECT road, max(i) AS spot FROM (SELECT road, unnest(range(len(w))) AS i, unnest(w) AS x FROM r1) JOIN vs ON vs.k = {_key('x')} GROUP BY road),
+r3 AS (SELECT r2.*, coalesce(m.spot, -1) AS spot, d2.short AS two, d1.short AS one, e2.short AS end2, e1.short AS end1, vr.short AS state, CASE WHEN m.spot IS NULL THEN n ELSE m.spot - 1 END AS ahead, CASE WHEN m.spot IS NULL THEN n ELSE n - 1 - m.spot END AS behind, greatest(length(coalesce(e2.short, '')), length(coalesce(e1.short, ''))) AS room
+  FROM r2 LEFT JOIN m USING (road) LEFT JOIN vd d2 ON d2.k = a1 || a2 LEFT JOIN vd d1 ON d1.k = a1 LEFT JOIN vd e2 ON e2.k = z2 || z1 LEFT JOIN vd e1 ON e1.k = z1 LEFT JOIN vr ON vr.k = {_key("a1 || ' ' || a2")}),
+r4 AS (SELECT *, CASE WHEN two IS NOT NULL AND (ahead > 2 OR ahead = 2 AND behind >= room) THEN 2 WHEN one IS NOT NULL AND state IS NULL AND (ahead > 1 OR ahead = 1 AND behind >= room) THEN 1 ELSE 0 END AS ld, CASE WHEN end2 IS NOT NULL THEN 2 WHEN end1 IS NOT NULL THEN 1 ELSE 0 END AS tl FROM r3),
+middle AS (SELECT road, string_agg(CASE WHEN i = spot AND n - ld - tl > 1 THEN coalesce(vs.short, x) ELSE x END, ' ' ORDER BY i) AS name FROM (SELECT *, unnest(range(n)) AS i, unnest(w) AS x FROM r4) LEFT JOIN vs ON vs.k = {_key('x')} WHERE i >= ld AND i < n - tl GROUP BY road)
+SELECT r0.addr_id, CASE WHEN n < 2 OR ld = 0 THEN '' WHEN ld = 2 THEN two ELSE one END AS predirectional, CASE WHEN n < 2 THEN w[1] ELSE coalesce(middle.name, '') END AS street_name, CASE WHEN n < 2 OR tl = 0 THEN '' WHEN tl = 2 THEN end2 ELSE end1 END AS postdirectional FROM r0 JOIN r4 USING (road) LEFT JOIN middle USING (road)"""
     out["parse_verified"] = f"WITH {_parse_ctes()} SELECT addr_id, region, postal, CASE WHEN region = '' OR postal = '' THEN least(confidence, 50) ELSE confidence END AS confidence FROM parsed"
     content, match = _normal_ctes("keep", False), _normal_ctes("sub", True)
     out["format_address"] = f"WITH {content}, f AS (SELECT addr_id, business_name, {_STREET} AS street_line, {_LASTLINE} AS last_line FROM done WHERE error IS NULL) SELECT addr_id, street_line, last_line, {_join('chr(10)', 'business_name', 'street_line', 'last_line')} AS formatted, {_join(_q(' '), 'business_name', 'street_line', 'last_line')} AS single_line FROM f"
