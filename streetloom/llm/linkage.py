@@ -179,10 +179,16 @@ def settle(facts: dict[int, tuple[tuple[str, ...], tuple[frozenset, ...]]], edge
     return of
 
 
-def _settle(edges: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
-    facts = {r.id: (tuple(getattr(r, c) for c in _DETAIL), tuple(frozenset(getattr(r, c)) for c in _FACTS)) for r in groups.itertuples()}
-    of = settle(facts, list(zip(edges["a"], edges["b"])))
-    return pd.DataFrame({"id": list(of), "place": list(of.values())})
+def _settle(batches):
+    """mapInPandas function over components: arrays of their edges and groups; many components a task."""
+    for pdf in batches:
+        out = []
+        for row in zip(*[pdf[c] for c in ("a", "b", "id", *_DETAIL, *_FACTS)]):
+            a, b, ids, *columns = row
+            detail, values = zip(*columns[: len(_DETAIL)]), zip(*columns[len(_DETAIL):])
+            facts = {int(i): (tuple(d), tuple(frozenset(x.split("\u0001")) - {""} for x in v)) for i, d, v in zip(ids, detail, values)}
+            out += settle(facts, [(int(x), int(y)) for x, y in zip(a, b)]).items()
+        yield pd.DataFrame(out, columns=["id", "place"])
 
 
 def link_addresses(records: DataFrame, id_col: str, vocab: DataFrame, least: float = 0.9) -> DataFrame:
@@ -221,7 +227,11 @@ def link_addresses(records: DataFrame, id_col: str, vocab: DataFrame, least: flo
     facts = staged(clusters.join(group.withColumnRenamed("id", "rep").withColumnRenamed("group", "id"), "id").groupBy("component", "id").agg(
         *[F.min(c).alias(c) for c in _DETAIL], *[F.filter(F.collect_set(c), lambda x: x != "").alias(c) for c in _FACTS]), "address-group-facts")
     inside = edges.join(clusters.withColumnRenamed("id", "a"), "a")
-    second = staged(inside.groupBy("component").cogroup(facts.groupBy("component")).applyInPandas(_settle, "id long, place long"), "address-second")
+    edges_of = inside.groupBy("component").agg(F.collect_list(F.struct("a", "b")).alias("e"))
+    groups_of = facts.groupBy("component").agg(F.collect_list(F.struct("id", *_DETAIL, *[F.array_join(c, "\u0001").alias(c) for c in _FACTS])).alias("g"))
+    each = edges_of.join(groups_of, "component").select("component", *[F.col(f"e.{c}") for c in ("a", "b")], *[F.col(f"g.{c}") for c in ("id", *_DETAIL, *_FACTS)])
+    parts_n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    second = staged(each.repartition(parts_n, F.xxhash64("component")).mapInPandas(_settle, "id long, place long"), "address-second")
     place = of.join(second.withColumnRenamed("id", "group"), "group", "left").select("id", F.coalesce("place", "group").alias("location"))
     of_rep = reps.join(place, "id").select(*PART_NAMES, "location")
     # readings without a number, or with neither town nor postcode, say too little to stand for a place
