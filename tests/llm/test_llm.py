@@ -363,6 +363,17 @@ def test_names(spark):
     assert names.p6_found(df.limit(0)).count() == 0
 
 
+def test_no_step_of_the_linkage_is_a_large_plan_or_a_broadcast(spark, monkeypatch):
+    """What the driver holds are plans and broadcasts; one plan of the whole linkage had 77 exchanges."""
+    plans, written = [], names.staged
+    monkeypatch.setattr(names, "staged", lambda df, *name: plans.append(df) or written(df, *name))
+    df = spark.createDataFrame([(i, f"Kestin{'g' * (i % 3)}ate Bakery", "Dunnport" if i % 4 else None, "OH") for i in range(12)], "mention_id long, business_name string, city string, region string")
+    plans.append(names.p6_found(df))
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert max(len(re.findall(r"\bExchange ", p)) for p in plans) <= 24
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
 TRADES_50 = """roofing plumbing landscaping catering towing welding tailoring upholstery locksmith masonry carpentry fencing paving gutters chimney septic drywall glazing tiling flooring painting wallpaper scaffolding
 demolition excavation surveying drafting printing bookbinding engraving framing photography videography florist nursery orchard winery brewery distillery creamery butcher fishmonger chandlery saddlery farrier kennel aviary
 beekeeping observatory planetarium""".split()
