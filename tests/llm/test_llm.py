@@ -188,6 +188,16 @@ def test_garbled_values_that_look_clean_do_not_train(spark):
     assert encodings.train(df.drop("h")).c3.get("eòo") is None
 
 
+def test_the_margin_is_validated_on_every_value(spark, monkeypatch):
+    """Every clean value with an odd letter counts, garbled by each chain, and by a model that hasn't seen it."""
+    values = [(f"{a}{b} Café Street".replace("é", c), k % 3 + 1) for k, (a, b, c) in enumerate((a, b, c) for a in ("Mar", "Dun", "Kes", "Harb") for b in ("vale", "port", "gate", "ton") for c in "éñüø")]
+    seen, judge = [], encodings.validated_margin
+    monkeypatch.setattr(encodings, "validated_margin", lambda g: seen.append(g.agg(F.sum("clean"), F.sum("garbled")).first()) or judge(g))
+    encodings.train(spark.createDataFrame(values + [("Plain Street", 50)], "v string, n long"))
+    codes = encodings.EncodingModel({}).codes
+    assert tuple(seen[0]) == (8 * sum(n for _, n in values), sum(n * len(encodings.garbled_forms(v, codes)) for v, n in values))
+
+
 def test_automaton_costs():
     w = lookalikes.Words({"NORTON": 5, "NORTAN": 9, "SEÑORÍO": 2, "OLD": 3})
     walk = lambda t, limit=0.0: w.walk(tuple(lookalikes.cells(t)), limit)
