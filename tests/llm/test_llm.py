@@ -188,6 +188,17 @@ def test_garbled_values_that_look_clean_do_not_train(spark):
     assert encodings.train(df.drop("h")).c3.get("eòo") is None
 
 
+def test_the_margin_is_the_best_of_all_cuts(spark):
+    """More cuts than were tried once, one of which is the only best; clean gains above those of garbled values count."""
+    rng = random.Random(5)
+    points = [(k * 0.0043, 0, 1) for k in range(1500)] + [(12 + rng.random() * 30, 0, 4) for _ in range(1500)] + [(k * 0.0042 + 0.001, 400 - k // 5, 0) for k in range(1501)] + [(70.5, 1, 0), (0.0, 9, 7)]
+    wrong = {c: 3 * sum(n for g, n, _ in points if g > c) + sum(n for g, _, n in points if g <= c) for c in {0.0, *(g for g, n, m in points if n or g < 40)}}
+    good = sorted(c for c, e in wrong.items() if e <= min(wrong.values()) * 1.001)
+    got = encodings.validated_margin(spark.createDataFrame(points, "g double, clean long, garbled long"))
+    assert got == min(max(encodings.PRIOR, good[0]), good[-1]) and got != encodings.PRIOR
+    assert encodings.validated_margin(spark.createDataFrame([(0.0, 5, 5)], "g double, clean long, garbled long")) == encodings.PRIOR
+
+
 def test_the_margin_is_validated_on_every_value(spark, monkeypatch):
     """Every clean value with an odd letter counts, garbled by each chain, and by a model that hasn't seen it."""
     values = [(f"{a}{b} Café Street".replace("é", c), k % 3 + 1) for k, (a, b, c) in enumerate((a, b, c) for a in ("Mar", "Dun", "Kes", "Harb") for b in ("vale", "port", "gate", "ton") for c in "éñüø")]
