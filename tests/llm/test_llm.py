@@ -209,6 +209,27 @@ def test_the_margin_is_validated_on_every_value(spark, monkeypatch):
     assert tuple(seen[0]) == (8 * sum(n for _, n in values), sum(n * len(encodings.garbled_forms(v, codes)) for v, n in values))
 
 
+def test_the_margin_is_validated_on_values_of_any_form(spark, monkeypatch):
+    """Blanks outside, line breaks, single letters and values with an apostrophe only are judged, so they count as well."""
+    values = [(" Café Alta", 2), ("Café Alta ", 3), ("é", 4), ("Café\nAlta", 5), ("Orl’ton", 6), ("Café Alta", 7)]
+    seen, judge = [], encodings.validated_margin
+    monkeypatch.setattr(encodings, "validated_margin", lambda g: seen.append(g.agg(F.sum("clean"), F.sum("garbled")).first()) or judge(g))
+    encodings.train(spark.createDataFrame(values + [("Plain Street", 50)], "v string, n long"))
+    codes = encodings.EncodingModel({}).codes
+    assert tuple(seen[0]) == (8 * sum(n for _, n in values), sum(n * len(encodings.garbled_forms(v, codes)) for v, n in values))
+    df = spark.createDataFrame([("María", 30), ("Mar’a", 1), ("Orl’ton", 6)], "v string, n long").withColumn("h", F.lit(1).cast("long"))
+    model = encodings.EncodingModel({g: n for g, n, _ in encodings.trigrams(df, F.lit(False))})
+    assert [r["v"] for r in encodings.garbled_values(df, model).collect()] == ["Mar’a"]
+
+
+def test_the_margin_is_a_best_cut_itself(spark):
+    """PRIOR between two best cuts isn't one of them; PRIOR in a gap after a best cut is as good as it."""
+    margin = lambda points: encodings.validated_margin(spark.createDataFrame(points, "g double, clean long, garbled long"))
+    assert margin([(1.0, 10, 0), (2.0, 0, 30), (3.0, 10, 0)]) == 3.0
+    assert margin([(0.5, 9, 0), (50.0, 0, 9), (60.0, 0, 9)]) == encodings.PRIOR
+    assert margin([(41.0, 0, 1), (42.0, 9, 0), (43.0, 0, 9)]) == 42.0
+
+
 def test_automaton_costs():
     w = lookalikes.Words({"NORTON": 5, "NORTAN": 9, "SEÑORÍO": 2, "OLD": 3})
     walk = lambda t, limit=0.0: w.walk(tuple(lookalikes.cells(t)), limit)
